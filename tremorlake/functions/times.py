@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 #: Text that holds an epoch in milliseconds (fixed value).
 EPOCH_TEXT = r"^\d+$"
 
+_INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
+
 #: Epoch milliseconds beyond this do not fit a microsecond timestamp.
 _MAX_MILLIS = 9_000_000_000_000_000
 
@@ -33,7 +35,10 @@ def epoch_millis(value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.TimestampNTZType):
         return F.unix_millis(value.cast("timestamp"))
     if isinstance(dtype, T.StringType):
-        return F.coalesce(value.try_cast("bigint"), F.unix_millis(F.try_to_timestamp(value)))
+        # The pattern in front saves a failing cast, which is slow, for every ISO text.
+        return F.when(value.rlike(_INTEGER_TEXT), value.try_cast("bigint")).otherwise(
+            F.unix_millis(F.try_to_timestamp(value))
+        )
     return value.try_cast("bigint")
 
 

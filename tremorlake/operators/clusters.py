@@ -10,6 +10,7 @@ so no event is shuffled.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,19 +38,19 @@ _EDGES = tuple(2.0**-power for power in range(8, -3, -1))
 _LIMIT = 2.0
 
 #: Cubes per cluster, on average, at which a cube lists hardly any cluster that misses the event.
-_CUBES_PER_CLUSTER = 27
+_CUBES_PER_CLUSTER = 343
 
 _CUBE = ("_cube_x", "_cube_y", "_cube_z")
+_CENTRE = ("center_x", "center_y", "center_z")
 _CANDIDATES = "_candidates"
-_POINT = "_point"
+_POINT = ("_point_x", "_point_y", "_point_z")
 
 
 def usable_clusters(clusters: DataFrame) -> DataFrame:
     """The dimension as numbers, without rows that cannot take part in a distance test."""
-    numbers = ("center_x", "center_y", "center_z", "max_r_km")
     typed = clusters.select(
         F.col("cluster_id").try_cast("int").alias("cluster_id"),
-        *(F.col(name).try_cast("double").alias(name) for name in numbers),
+        *(F.col(name).try_cast("double").alias(name) for name in (*_CENTRE, "max_r_km")),
     )
     return typed.na.drop()
 
@@ -59,75 +60,100 @@ def _cube(value: Column, edge: float) -> Column:
     return F.floor(clamped / edge).cast("int")
 
 
+def _reach() -> Column:
+    """Radius on the unit sphere, a hair wider, so that rounding never loses a cube."""
+    return F.abs(F.col("max_r_km")) / EARTH_RADIUS_KM * (1.0 + 1e-9) + 1e-12
+
+
 def _bounds(centre: str, edge: float) -> tuple[Column, Column]:
-    """First and last cube along one axis that the sphere can reach; a hair wider than the sphere."""
-    reach = F.abs(F.col("max_r_km")) / EARTH_RADIUS_KM * (1.0 + 1e-9) + 1e-12
-    return _cube(F.col(centre) - reach, edge), _cube(F.col(centre) + reach, edge)
+    """First and last cube along one axis that the sphere can reach."""
+    return _cube(F.col(centre) - _reach(), edge), _cube(F.col(centre) + _reach(), edge)
 
 
-def _cube_count(edge: float) -> Column:
-    total = F.lit(1).cast("bigint")
-    for centre in ("center_x", "center_y", "center_z"):
-        low, high = _bounds(centre, edge)
-        total = total * (high - low + 1)
-    return total
+class _Extent(NamedTuple):
+    """Sums over a dimension that bound its number of cubes at any edge."""
+
+    clusters: int
+    reach: float
+    reach2: float
+    reach3: float
+
+    def cubes(self, edge: float) -> float:
+        """At most ``2 * reach / edge + 2`` cubes per axis, multiplied out and summed."""
+        return (
+            8 * self.reach3 / edge**3
+            + 24 * self.reach2 / edge**2
+            + 24 * self.reach / edge
+            + 8 * self.clusters
+        )
+
+
+def _extent(clusters: DataFrame) -> _Extent:
+    reach = F.least(_reach(), F.lit(_LIMIT))
+    sums = [F.coalesce(F.sum(term), F.lit(0.0)) for term in (reach, reach * reach, reach * reach * reach)]
+    return _Extent(*clusters.agg(F.count("*"), *sums).first())
+
 
+def _edge(extent: _Extent, cube_limit: int) -> float:
+    """The coarsest edge that is still fine compared with the spheres, else the finest that fits."""
+    fitting = [edge for edge in _EDGES if extent.cubes(edge) <= cube_limit] or [_EDGES[-1]]
+    fine = [edge for edge in fitting if extent.cubes(edge) >= _CUBES_PER_CLUSTER * extent.clusters]
+    return max(fine) if fine else min(fitting)
 
-def _passes(clusters: DataFrame, per_pass: int) -> list[Column]:
-    """Disjoint id ranges, ascending, each with about ``per_pass`` clusters."""
-    count = clusters.count()
-    parts = math.ceil(count / per_pass)
-    if parts <= 1:
-        return [F.lit(True)]
+
+def _id_ranges(clusters: DataFrame, parts: int) -> list[Column]:
+    """Disjoint id ranges, ascending, with about equally many clusters."""
     cuts = clusters.agg(
         F.percentile_approx("cluster_id", [i / parts for i in range(1, parts)], 10 * parts)
     ).first()[0]
     edges = sorted(set(cuts))
-    lows, highs = [None, *edges], [*edges, None]
-    ranges = []
-    for low, high in zip(lows, highs):
-        test = F.lit(True)
-        if low is not None:
-            test = test & (F.col("cluster_id") > low)
-        if high is not None:
-            test = test & (F.col("cluster_id") <= high)
-        ranges.append(test)
-    return ranges
-
-
-def _choose_edge(clusters: DataFrame, cube_limit: int) -> float:
-    row = clusters.agg(
-        F.count("*").alias("rows"),
-        *(F.coalesce(F.sum(_cube_count(edge)), F.lit(0)).alias(f"e{i}") for i, edge in enumerate(_EDGES)),
-    ).first()
-    totals = row[1:]
-    fitting = [i for i in range(len(_EDGES)) if totals[i] <= cube_limit] or [len(_EDGES) - 1]
-    fine = [i for i in fitting if totals[i] >= _CUBES_PER_CLUSTER * row["rows"]]
-    return _EDGES[max(fine) if fine else min(fitting)]
+    ident = F.col("cluster_id")
+    inner = [(ident > low) & (ident <= high) for low, high in zip(edges, edges[1:])]
+    return [ident <= edges[0], *inner, ident > edges[-1]]
+
+
+def _holds_cube(edge: float) -> Column:
+    """Whether a sphere holds every point of the cube, by the cube's farthest corner.
+
+    Never true for an outermost cube, which also stands for everything beyond it.
+    """
+    outermost = int(_LIMIT // edge)
+    farthest, inner = F.lit(0.0), F.lit(True)
+    for name, centre in zip(_CUBE, _CENTRE):
+        low = F.col(name) * edge
+        gap = F.greatest(F.abs(low - F.col(centre)), F.abs(low + edge - F.col(centre)))
+        farthest = farthest + gap * gap
+        inner = inner & (F.col(name) > -outermost) & (F.col(name) < outermost)
+    return inner & (farthest < squared_reach(F.col("max_r_km")) * (1.0 - 1e-9))
 
 
 def _cube_table(clusters: DataFrame, edge: float) -> DataFrame:
-    """Per cube the clusters that may reach into it, by ascending id."""
+    """Per cube the clusters that may match there, by ascending id.
+
+    The list ends with the first cluster that holds the whole cube: no later one can be the first
+    match of an event in it.
+    """
     cubes = clusters
-    for name, centre in zip(_CUBE, ("center_x", "center_y", "center_z")):
+    for name, centre in zip(_CUBE, _CENTRE):
         low, high = _bounds(centre, edge)
         cubes = cubes.withColumn(name, F.explode(F.sequence(low, high)))
-    candidate = F.struct(
-        "cluster_id",
-        "center_x",
-        "center_y",
-        "center_z",
-        squared_reach(F.col("max_r_km")).alias("reach"),
+    candidate = F.struct("cluster_id", *_CENTRE, squared_reach(F.col("max_r_km")).alias("reach"))
+    lists = cubes.groupBy(*_CUBE).agg(
+        F.sort_array(F.collect_list(candidate)).alias("_all"),
+        F.min(F.when(_holds_cube(edge), F.col("cluster_id"))).alias("_last"),
     )
-    return cubes.groupBy(*_CUBE).agg(F.sort_array(F.collect_list(candidate)).alias(_CANDIDATES))
+    needed = F.filter("_all", lambda c: F.col("_last").isNull() | (c["cluster_id"] <= F.col("_last")))
+    return lists.select(*_CUBE, needed.alias(_CANDIDATES))
 
 
 def _first_match(point: Vector) -> Column:
+    """Id of the first candidate that holds the point."""
+
     def holds(candidate: Column) -> Column:
-        centre = Vector(candidate["center_x"], candidate["center_y"], candidate["center_z"])
+        centre = Vector(*(candidate[name] for name in _CENTRE))
         return squared_distance(point, centre) < candidate["reach"]
 
-    return F.get(F.filter(F.col(_CANDIDATES), holds), F.lit(0))["cluster_id"]
+    return F.get(F.filter(_CANDIDATES, holds), F.lit(0))["cluster_id"]
 
 
 def match_clusters(
@@ -143,15 +169,17 @@ def match_clusters(
     broadcast stays within its bound and the lowest id still wins.
     """
     usable = usable_clusters(clusters)
+    extent = _extent(usable)
+    passes = [(usable, _edge(extent, cube_limit))]
+    if extent.clusters > per_pass:
+        ranges = _id_ranges(usable, math.ceil(extent.clusters / per_pass))
+        parts = [usable.filter(id_range) for id_range in ranges]
+        passes = [(part, _edge(_extent(part), cube_limit)) for part in parts]
     where = hypocentre_vector(F.col("latitude"), F.col("longitude"), F.col("depth_km"))
-    result = events.withColumn(
-        _POINT, F.struct(where.x.alias("x"), where.y.alias("y"), where.z.alias("z"))
-    )
-    point = Vector(F.col(f"{_POINT}.x"), F.col(f"{_POINT}.y"), F.col(f"{_POINT}.z"))
+    result = events.withColumns(dict(zip(_POINT, where)))
+    point = Vector(*(F.col(name) for name in _POINT))
     found: list[str] = []
-    for number, id_range in enumerate(_passes(usable, per_pass)):
-        part = usable.filter(id_range)
-        edge = _choose_edge(part, cube_limit)
+    for number, (part, edge) in enumerate(passes):
         keys = {name: _cube(axis, edge) for name, axis in zip(_CUBE, point)}
         match = f"_match_{number}"
         result = (
@@ -161,7 +189,7 @@ def match_clusters(
             .drop(*_CUBE, _CANDIDATES)
         )
         found.append(match)
-    return result.withColumn("cluster_id", F.coalesce(*found)).drop(_POINT, *found)
+    return result.withColumn("cluster_id", F.coalesce(*found)).drop(*_POINT, *found)
 
 
 def distance_to_centre(
@@ -172,16 +200,16 @@ def distance_to_centre(
     A member whose cluster has no centre is at distance 0.
     """
     own = broadcast_when_small(
-        centres.select(F.col("cluster_id").alias("_centre"), "center_x", "center_y", "center_z")
+        centres.select(F.col("cluster_id").alias("_centre"), *_CENTRE)
     )
     distance = great_circle_km(
         Vector(F.col("x"), F.col("y"), F.col("z")),
-        Vector(F.col("center_x"), F.col("center_y"), F.col("center_z")),
+        Vector(*(F.col(name) for name in _CENTRE)),
     )
     return (
         members.join(own, F.col(cluster) == F.col("_centre"), "left")
         .withColumn("dist_km", F.when(F.col("_centre").isNull(), 0.0).otherwise(distance))
-        .drop("_centre", "center_x", "center_y", "center_z")
+        .drop("_centre", *_CENTRE)
     )
 
 

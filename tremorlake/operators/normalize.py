@@ -43,38 +43,47 @@ TERRAQUAKE = FeedLayout(
 SOURCE_PRIORITY = ("USGS", "Terraquake")
 
 
-def _typed(df: DataFrame, path: str, target: str) -> Column:
+def _type_at(schema: T.StructType, path: str) -> T.DataType:
+    """Type of a possibly nested field; names match as Spark resolves them, ignoring case."""
+    found: T.DataType = schema
+    for part in path.split("."):
+        named = {field.name.lower(): field.dataType for field in found.fields}
+        found = named[part.lower()]
+    return found
+
+
+def _typed(schema: T.StructType, path: str, target: str) -> Column:
     """The field at ``path`` as ``target``; left alone when it has the type, so filters push down."""
-    if df.select(path).schema[0].dataType.simpleString() == target:
+    if _type_at(schema, path).simpleString() == target:
         return F.col(path)
     return F.col(path).try_cast(target)
 
 
-def _position(df: DataFrame, path: str, index: int) -> Column:
+def _position(schema: T.StructType, path: str, index: int) -> Column:
     """Array element as double, NULL when the array is too short."""
     element = F.get(F.col(path), F.lit(index))
-    if df.select(path).schema[0].dataType == T.ArrayType(T.DoubleType()):
+    if _type_at(schema, path).elementType == T.DoubleType():
         return element
     return element.try_cast("double")
 
 
 def normalize_feed(feed: DataFrame, layout: FeedLayout) -> DataFrame:
     """One projection of a raw feed onto the unified columns; malformed values become NULL."""
+    schema = feed.schema
     if layout.mag_type is not None:
-        mag_type = _typed(feed, layout.mag_type, "string")
+        mag_type = _typed(schema, layout.mag_type, "string")
     else:
         mag_type = F.lit(layout.mag_type_constant)
-    time_type = feed.select(layout.time).schema[0].dataType
     unified = {
-        "id": _typed(feed, layout.id, "string"),
+        "id": _typed(schema, layout.id, "string"),
         "dt": F.col(layout.dt),
-        "magnitude": _typed(feed, layout.magnitude, "double"),
+        "magnitude": _typed(schema, layout.magnitude, "double"),
         "mag_type": mag_type,
-        "place": _typed(feed, layout.place, "string"),
-        "time_utc": epoch_millis(F.col(layout.time), time_type),
-        "longitude": _position(feed, layout.coordinates, 0),
-        "latitude": _position(feed, layout.coordinates, 1),
-        "depth_km": _position(feed, layout.coordinates, 2),
+        "place": _typed(schema, layout.place, "string"),
+        "time_utc": epoch_millis(F.col(layout.time), _type_at(schema, layout.time)),
+        "longitude": _position(schema, layout.coordinates, 0),
+        "latitude": _position(schema, layout.coordinates, 1),
+        "depth_km": _position(schema, layout.coordinates, 2),
         "source_system": F.lit(layout.source_system),
     }
     return feed.select(*(unified[name].alias(name) for name in UNIFIED_COLUMNS))

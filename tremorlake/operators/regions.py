@@ -59,10 +59,9 @@ def _cell(value: Column, edge: float) -> Column:
     return F.floor(clamped / edge).cast("int")
 
 
-def _cell_count(edge: float) -> Column:
-    lat = _cell(F.col("lat_max"), edge) - _cell(F.col("lat_min"), edge) + 1
-    lon = _cell(F.col("lon_max"), edge) - _cell(F.col("lon_min"), edge) + 1
-    return F.greatest(lat, F.lit(0)).cast("bigint") * F.greatest(lon, F.lit(0))
+def _side(low: str, high: str) -> Column:
+    world = F.lit(_WORLD)
+    return F.greatest(F.least(F.col(high), world) - F.greatest(F.col(low), -world), F.lit(0.0))
 
 
 def plan_box_join(
@@ -71,24 +70,27 @@ def plan_box_join(
     broadcast_cells: int = BROADCAST_CELLS,
     salts: int = DEFAULT_SALTS,
 ) -> BoxPlan:
-    """Measure the boxes (one or two passes over the dimension) and choose a plan."""
-    size = measure(boxes)
-    if size.rows <= nested_loop_boxes and size.text_bytes <= BROADCAST_BYTES:
+    """Measure the boxes (one pass over the dimension) and choose a plan."""
+    height, width = _side("lat_min", "lat_max"), _side("lon_min", "lon_max")
+    sides = [F.coalesce(F.sum(x), F.lit(0.0)) for x in (height * width, height + width)]
+    size, (area, half_rim) = measure(boxes, *sides)
+    if size.rows <= nested_loop_boxes and size.bytes <= BROADCAST_BYTES:
         return BoxPlan("nested_loop")
-    totals = boxes.agg(
-        *(F.coalesce(F.sum(_cell_count(edge)), F.lit(0)).alias(str(i)) for i, edge in enumerate(_CELL_EDGES))
-    ).first()
-    mean_bytes = size.text_bytes / max(size.rows, 1)
+
+    def cells(edge: float) -> float:
+        """At most ``side / edge + 2`` cells per axis, multiplied out and summed over the boxes."""
+        return area / edge**2 + 2 * half_rim / edge + 4 * size.rows
+
+    mean_bytes = size.bytes / max(size.rows, 1)
     cell_limit = min(broadcast_cells, BROADCAST_BYTES / max(mean_bytes, 1.0))
     target = _CELLS_PER_BOX * size.rows
-    fitting = [i for i in range(len(_CELL_EDGES)) if totals[i] <= cell_limit]
+    fitting = [edge for edge in _CELL_EDGES if cells(edge) <= cell_limit]
     if fitting:
         # The coarsest grid that is still fine compared with the boxes, else the finest that fits.
-        fine = [i for i in fitting if totals[i] >= target]
-        return BoxPlan("broadcast_cells", _CELL_EDGES[max(fine) if fine else min(fitting)], salts)
-    affordable = [i for i in range(len(_CELL_EDGES)) if totals[i] <= target]
-    chosen = min(affordable) if affordable else len(_CELL_EDGES) - 1
-    return BoxPlan("shuffle_cells", _CELL_EDGES[chosen], salts)
+        fine = [edge for edge in fitting if cells(edge) >= target]
+        return BoxPlan("broadcast_cells", max(fine) if fine else min(fitting), salts)
+    affordable = [edge for edge in _CELL_EDGES if cells(edge) <= target]
+    return BoxPlan("shuffle_cells", min(affordable) if affordable else _CELL_EDGES[-1], salts)
 
 
 def _covered(boxes: DataFrame, edge: float) -> DataFrame:
