@@ -95,13 +95,14 @@ def cluster_spheres(
 ) -> SphereClusters:
     """Sweep KMeans over ``ks``, then derive metrics, dimension and daily fact from the best model.
 
-    Training data is staged once as three doubles per event; all fits and the dimension read that.
-    Empty input gives empty results.
+    Points are staged once as an id and three doubles per event; the fits read a cached, laid-out
+    copy of them and the dimension reads the stage. Empty input gives empty results.
     """
     spark = events.sparkSession
     points = sphere_features(events.select("id", "latitude", "longitude")).select("id", "x", "y", "z")
-    staged = Staged(stable_layout(points, partitions), "sphere-features")
-    features = assemble(staged.df, ["x", "y", "z"]).persist(StorageLevel.MEMORY_AND_DISK)
+    staged = Staged(points, "sphere-features")
+    features = assemble(stable_layout(staged.df, partitions), ["x", "y", "z"])
+    features = features.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sweep = sweep_kmeans(features, collect_moments(features), ks, trials, parallelism)
     finally:
@@ -160,14 +161,16 @@ def cluster_zones(
     needed = located_events(events).select(
         "id", "dt", "latitude", "longitude", "magnitude", "depth_km"
     )
-    staged = Staged(stable_layout(needed, partitions), "zone-events")
-    features = assemble(staged.df, ["latitude", "longitude"])
+    staged = Staged(needed, "zone-events")
+    axes = ["latitude", "longitude"]
     if staged.df.isEmpty():
         members = staged.df.withColumn("cluster_id", F.lit(None).cast("int"))
     else:
-        training = features.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+        training = assemble(stable_layout(staged.df.select("id", *axes), partitions), axes)
+        training = training.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            members = fit_zones(training, k, seed).transform(features).drop("features")
+            model = fit_zones(training, k, seed)
+            members = model.transform(assemble(staged.df, axes)).drop("features")
         finally:
             training.unpersist()
     return Zones(zone_dimension(members), zone_daily_fact(members), staged)
