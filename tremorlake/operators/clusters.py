@@ -40,6 +40,9 @@ _LIMIT = 2.0
 #: Cubes per cluster, on average, at which a cube lists hardly any cluster that misses the event.
 _CUBES_PER_CLUSTER = 343
 
+#: Candidates tested in generated code before the rest of a list.
+_HEAD = 8
+
 _CUBE = ("_cube_x", "_cube_y", "_cube_z")
 _CENTRE = ("center_x", "center_y", "center_z")
 _CANDIDATES = "_candidates"
@@ -147,13 +150,24 @@ def _cube_table(clusters: DataFrame, edge: float) -> DataFrame:
 
 
 def _first_match(point: Vector) -> Column:
-    """Id of the first candidate that holds the point."""
+    """Id of the first candidate that holds the point.
+
+    The head of the list is tested in generated code, which stops at the first hit. A higher-order
+    filter, about three times slower, sees only the rest of a longer list without a hit so far.
+    """
 
     def holds(candidate: Column) -> Column:
         centre = Vector(*(candidate[name] for name in _CENTRE))
         return squared_distance(point, centre) < candidate["reach"]
 
-    return F.get(F.filter(_CANDIDATES, holds), F.lit(0))["cluster_id"]
+    candidates = F.col(_CANDIDATES)
+    beyond = F.size(candidates) - _HEAD
+    tail = F.slice(candidates, _HEAD + 1, F.greatest(beyond, F.lit(0)))
+    first, *others = (F.get(candidates, F.lit(i)) for i in range(_HEAD))
+    hit = F.when(holds(first), first["cluster_id"])
+    for candidate in others:
+        hit = hit.when(holds(candidate), candidate["cluster_id"])
+    return hit.when(beyond > 0, F.get(F.filter(tail, holds), F.lit(0))["cluster_id"])
 
 
 def match_clusters(

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # Recording the Python call site of every column expression makes building a plan slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
