@@ -100,3 +100,11 @@ def test_the_fact_reads_only_what_it_needs(spark, base, plan_of):
     schema = plan.split("ReadSchema: ")[1].split("\n")[0]
     assert "mag_type" not in schema and "source_system" not in schema and "time_utc" not in schema
     assert "IsNotNull(latitude)" in plan and "Python" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_rows_without_id_are_looked_up_by_a_pushed_filter(spark, base, plan_of):
+    root, _ = base
+    feeds = [(scan_feed(spark, f"{root}/usgs"), USGS), (scan_feed(spark, f"{root}/terraquake"), TERRAQUAKE)]
+    plan = plan_of(clean_events(feeds)).split("== Physical Plan ==")[1]
+    assert "PushedFilters: [IsNull(id)" in plan and "IsNull(properties.eventId)" in plan
+    assert plan.count("Exchange hashpartitioning") == 2

@@ -1,17 +1,21 @@
+import datetime as dt
 import json
 from collections import Counter
 
 import pytest
 from conftest import SMALL
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tremorlake.checks import views as V
 from tremorlake.checks.catalog import write_messages
+from tremorlake.plans.serving import filter_events
 from tremorlake.schemas import REGION_SCHEMA, SERVING_COLUMNS, SERVING_SCHEMA, STREAM_COLUMNS
 from tremorlake.streaming.ingest import (
     ConnectorServing,
     ParquetServing,
     enrich,
+    kafka_source,
     latest_per_key,
     start_ingest,
     stream_source,
@@ -101,6 +105,32 @@ def test_latest_per_key_prefers_the_later_batch(spark):
     assert [r["place"] for r in latest_per_key(day).collect()] == ["new"]
 
 
+def test_a_day_filter_prunes_the_keyed_view(spark, tmp_path, sides, plan_of):
+    serving = ParquetServing(str(tmp_path / "out"))
+    event = json.dumps({"id": "a", "time_utc": "1704067200500", "magnitude": 2.0})
+    serving.write_batch(enrich(parse_quakes(messages(spark, [event])), *sides), 0)
+    day = dt.date(2024, 1, 1)
+    df = filter_events(latest_per_key(serving.read(spark)), day, day, 0, 9)
+    assert df.count() == 1
+    partition_filters = plan_of(df).split("PartitionFilters: [")[1].split("]")[0]
+    assert "day#" in partition_filters
+
+
+def test_default_trigger(spark, tmp_path, sides):
+    root = str(tmp_path)
+    write_messages(spark, SMALL, f"{root}/in", files=1)
+    serving = ParquetServing(f"{root}/out")
+    query = start_ingest(stream_source(spark, "text", {"path": f"{root}/in"}), *sides, serving, f"{root}/ck")
+    query.processAllAvailable()
+    query.stop()
+    assert serving.read(spark).select("id").distinct().count() == 1000
+
+
+def test_kafka_options_need_the_connector(spark):
+    with pytest.raises(AnalysisException, match="(?i)kafka"):
+        kafka_source(spark, "localhost:9092", "quakes")
+
+
 def test_connector_sink(spark, tmp_path, sides):
     root = str(tmp_path)
     write_messages(spark, SMALL, f"{root}/in", files=1)

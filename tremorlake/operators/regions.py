@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.operators.sizing import measure
+from tremorlake.operators.sizing import measure, row_bytes
 
 NESTED_LOOP_BOXES = 64
 BROADCAST_CELLS = 500_000
@@ -72,19 +72,28 @@ def plan_box_join(
 ) -> BoxPlan:
     """Measure the boxes (one pass over the dimension) and choose a plan."""
     height, width = _side("lat_min", "lat_max"), _side("lon_min", "lon_max")
-    sides = [F.coalesce(F.sum(x), F.lit(0.0)) for x in (height * width, height + width)]
-    size, (area, half_rim) = measure(boxes, *sides)
+    area, rim, weight = height * width, height + width, row_bytes(boxes)
+    terms = (area, rim, area * weight, rim * weight)
+    size, sums = measure(boxes, *(F.coalesce(F.sum(term), F.lit(0.0)) for term in terms))
     if size.rows <= nested_loop_boxes and size.bytes <= BROADCAST_BYTES:
         return BoxPlan("nested_loop")
 
-    def cells(edge: float) -> float:
+    def covering(edge: float, area: float, rim: float, count: int) -> float:
         """At most ``side / edge + 2`` cells per axis, multiplied out and summed over the boxes."""
-        return area / edge**2 + 2 * half_rim / edge + 4 * size.rows
+        return area / edge**2 + 2 * rim / edge + 4 * count
+
+    def cells(edge: float) -> float:
+        return covering(edge, sums[0], sums[1], size.rows)
+
+    def cell_bytes(edge: float) -> float:
+        return covering(edge, sums[2], sums[3], size.bytes)
 
-    mean_bytes = size.bytes / max(size.rows, 1)
-    cell_limit = min(broadcast_cells, BROADCAST_BYTES / max(mean_bytes, 1.0))
     target = _CELLS_PER_BOX * size.rows
-    fitting = [edge for edge in _CELL_EDGES if cells(edge) <= cell_limit]
+    fitting = [
+        edge
+        for edge in _CELL_EDGES
+        if cells(edge) <= broadcast_cells and cell_bytes(edge) <= BROADCAST_BYTES
+    ]
     if fitting:
         # The coarsest grid that is still fine compared with the boxes, else the finest that fits.
         fine = [edge for edge in fitting if cells(edge) >= target]

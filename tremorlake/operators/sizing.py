@@ -14,7 +14,7 @@ class Size(NamedTuple):
     bytes: int
 
 
-def _row_bytes(df: DataFrame) -> Column:
+def row_bytes(df: DataFrame) -> Column:
     """Size of a row: its text lengths and eight bytes for every other column."""
     size = F.lit(8 * len(df.columns)).cast("bigint")
     for name, kind in df.dtypes:
@@ -27,7 +27,7 @@ def _row_bytes(df: DataFrame) -> Column:
 
 def measure(df: DataFrame, *extra: Column) -> tuple[Size, tuple]:
     """Size of a dimension and any ``extra`` aggregates: one pass, one row to the driver."""
-    total = F.coalesce(F.sum(_row_bytes(df)), F.lit(0))
+    total = F.coalesce(F.sum(row_bytes(df)), F.lit(0))
     rows, size, *values = df.agg(F.count("*"), total, *extra).first()
     return Size(rows, size), tuple(values)
 

@@ -94,9 +94,13 @@ class ConnectorServing:
 
 
 def latest_per_key(serving: DataFrame, keys: tuple[str, ...] = ("day", "id")) -> DataFrame:
-    """The keyed view of an append-only serving table: the last written row per key."""
+    """The keyed view of an append-only serving table: the last written row per key.
+
+    Keys are never NULL here, so one scan does; a filter on a key column reaches that scan.
+    """
     order = [BATCH_COLUMN, *(name for name in SERVING_COLUMNS if name not in keys)]
-    first = keep_first(serving, [F.col(key) for key in keys], [F.desc(name) for name in order])
+    columns = [F.col(key) for key in keys]
+    first = keep_first(serving, columns, [F.desc(name) for name in order], null_keys="collapse")
     return first.select(*SERVING_COLUMNS)
 
 
