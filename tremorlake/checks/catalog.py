@@ -194,8 +194,8 @@ def feed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     usgs, terraquake = scratch_path(spark, "usgs"), scratch_path(spark, "terraquake")
     write_parquet(V.usgs_feed(spark, sf_dir), usgs, ["dt"])
     write_parquet(V.terraquake_feed(spark, sf_dir), terraquake, ["dt"])
-    months = [f"dt={month}-*" for month in ("2024-01", "2024-02", "2024-03")]
-    present = [glob for glob in months if _matches(spark, f"{terraquake}/{glob}")]
+    halves = ["dt=????-??-[01]?", "dt=????-??-[23]?"]
+    present = [glob for glob in halves if _matches(spark, f"{terraquake}/{glob}")]
     feeds = [
         normalize_feed(scan_feed(spark, usgs), USGS),
         normalize_feed(scan_feed(spark, terraquake, present), TERRAQUAKE),
