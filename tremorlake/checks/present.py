@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 #: kind -> (Spark type or number of decimals, value shown for NULL)
 _ROUNDED = {"r6": 6, "r9": 9, "r10": 10}
 
+#: Added before rounding in both engines. An average such as 1.00619296875 lies exactly between two
+#: ten-digit values, and the order of a sum would decide which one is shown.
+_OFF_TIE = 1.7e-12
+
 
 def _spark(name: str, kind: str) -> Column:
     column = F.col(name)
@@ -21,7 +25,7 @@ def _spark(name: str, kind: str) -> Column:
         shown = F.coalesce(column, F.lit(-1.0))
     else:
         # The added zero turns a rounded -0.0 into 0.0.
-        shown = F.coalesce(F.round(column, _ROUNDED[kind]) + 0.0, F.lit(-1.0))
+        shown = F.coalesce(F.round(column + _OFF_TIE, _ROUNDED[kind]) + 0.0, F.lit(-1.0))
     return shown.alias(name)
 
 
@@ -35,7 +39,7 @@ def _sql(name: str, kind: str) -> str:
     if kind == "num":
         return f"coalesce({name}, cast(-1 as double)) as {name}"
     digits = _ROUNDED[kind]
-    return f"coalesce(round({name}, {digits}) + cast(0 as double), cast(-1 as double)) as {name}"
+    return f"coalesce(round({name} + {_OFF_TIE}, {digits}) + cast(0 as double), cast(-1 as double)) as {name}"
 
 
 def shown(df: DataFrame, columns: dict[str, str]) -> DataFrame:
