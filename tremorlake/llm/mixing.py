@@ -82,14 +82,14 @@ def _position(demand: Column, schedule: Sequence[float]) -> Column:
     return found
 
 
-def mix(docs: DataFrame, schedules: Sequence[Sequence[float]] = SCHEDULES, **rules) -> DataFrame:
+def mix(docs: DataFrame, keep: Sequence[str] | None = None, schedules: Sequence[Sequence[float]] = SCHEDULES, **rules) -> DataFrame:
     """``docs`` with size, source_size, target, taken, takes (words of each pass) and positions.
 
-    ``docs`` needs doc_id, source and text; other columns stay, but columns of the names above are
-    replaced.
+    ``docs`` needs doc_id, source and text. Its columns, or those in ``keep`` (doc_id and source among
+    them), stay, but columns of the names above are replaced.
     """
     new = ("size", "source_size", "target", "taken", "takes", "positions")
-    kept = [c for c in docs.columns if c not in new]
+    kept = [c for c in keep or docs.columns if c not in new]
     sized = docs.select(*kept, size_of(text_of()).alias("size"))
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **rules)
     shuffled = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id"), F.col("size")]

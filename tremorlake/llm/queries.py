@@ -43,7 +43,7 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), keep=("doc_id", "source"))
     first = F.array_min("positions").alias("first_position")
     rows = mixed.select("doc_id", "size", "source_size", "target", "taken", first)
     return rows.orderBy(F.asc_nulls_last("first_position"), "doc_id")
