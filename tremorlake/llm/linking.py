@@ -1,9 +1,10 @@
 """Connected groups of rows that share keys and pass a test, without all pairs of a group.
 
-Rows that share a key are candidates. Where many do, each key first picks a leader, the row that shares
-most with others, and only (leader, row) pairs are tested. Rows found linked form components, and pairs
-inside one component need no test any more. When few pairs between different components are left, all
-of them are tested, so no link between components is lost.
+Rows that share a key are candidates. As long as they are few against the rows themselves, all of them
+are tested. Where a group is large, each key first picks a leader, the row that shares most with others,
+and only (leader, row) pairs are tested. Rows found linked form components, and pairs inside a component
+need no test any more. In the end all pairs between different components are tested, so no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -25,60 +26,64 @@ def _with_payload(pairs: DataFrame, payload: DataFrame) -> DataFrame:
 
 def link(
     members: DataFrame,
-    payload: DataFrame,
-    likely: Callable[[], Column],
+    near: Callable[[], Column],
     verify: Callable[[DataFrame], DataFrame],
-    spare: int = 4,
+    payload: DataFrame | None = None,
+    likely: Callable[[], Column] | None = None,
+    spare: int = 100,
 ) -> DataFrame | None:
-    """(node, root) of all rows with a link, root being the smallest node; None without candidates.
+    """(node, root) of all rows with a link, root being the smallest node; None without any link.
 
-    ``members`` has (key, node), each pair once; ``payload`` one row per node. ``likely`` is a condition
-    over l_<name> and r_<name> that no true link fails, ``verify`` keeps the true links of (a, b).
+    ``members`` has (key, node), each pair once, and small columns that ``near`` compares as l_<name> and
+    r_<name> inside the join. ``likely`` compares the columns of ``payload``, one row per node, in the
+    same way. Both hold for every true link; ``verify`` keeps the true links of (a, b). All candidates
+    are tested at once when there are at most ``spare`` times as many as rows.
     """
-    counts = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
-    counts = counts.where("low < high").select(F.col("key").alias("k"), "n")
-    shared = staged(members.join(counts, F.col("key") == F.col("k")).select("key", "node", "n"), "members")
-    scores = shared.groupBy(F.col("node").alias("of")).agg(F.sum("n").alias("score"))
-    shared = staged(shared.join(scores, F.col("node") == F.col("of")).select("key", "node", "score"), "members")
-    edges = roots = leads = None
+    small = [c for c in members.columns if c not in ("key", "node")]
+    counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "n")
+    shared = staged(members.join(counts, F.col("key") == F.col("k")).drop("k"), "members")
+    edges = roots = leads = scores = before = None
     while True:
         now = shared.withColumn("comp", F.col("node"))
         if roots is not None:
             known = roots.select(F.col("node").alias("of"), "root")
-            now = shared.join(known, F.col("node") == F.col("of"), "left").select(
-                *shared.columns, F.coalesce("root", "node").alias("comp")
-            )
-            now = staged(now, "members")
+            now = shared.join(known, F.col("node") == F.col("of"), "left")
+            now = staged(now.select(*shared.columns, F.coalesce("root", "node").alias("comp")), "members")
         parts = now.groupBy("key", "comp").agg(F.count("*").alias("n"))
         mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
         mixed = staged(mixed.where("n * n > inside").select(F.col("key").alias("k"), "n", "inside"), "keys")
         left, rows = mixed.agg(F.sum(F.expr("(n * n - inside) / 2")), F.sum("n")).first()
         if not left:
             return roots
-        opened = now.join(mixed.select("k"), F.col("key") == F.col("k")).drop("k")
-        fresh = opened
-        if leads is not None:
-            fresh = opened.join(leads, ["key", "node"], "left_anti")
-        last = left <= spare * rows
+        opened = now.drop("n").join(mixed.select("k"), F.col("key") == F.col("k")).drop("k")
+        # A round of leaders that leaves more than half has nothing more to give.
+        last = left <= spare * rows or before is not None and 2 * left > before
+        before = left
         if not last:
-            best = fresh.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("node"), "comp")).alias("lead"))
-            best = staged(best.select(F.col("key").alias("k"), (-F.col("lead.node")).alias("lead"), F.col("lead.comp").alias("lead_comp")), "leads")
-            last = best.isEmpty()
+            if scores is None:
+                scores = staged(shared.groupBy("node").agg(F.sum("n").alias("score")), "scores")
+            fresh = opened if leads is None else opened.join(leads, ["key", "node"], "left_anti")
+            fresh = fresh.join(scores, "node")
+            lead = F.struct("score", (-F.col("node")).alias("minus"), "comp", *small)
+            best = fresh.groupBy("key").agg(F.max(lead).alias("lead"))
+            taken = [F.col(f"lead.{c}").alias(f"l_{c}") for c in small]
+            best = staged(best.select(F.col("key").alias("l_key"), (-F.col("lead.minus")).alias("a"), F.col("lead.comp").alias("l_comp"), *taken), "leads")
+            named = best.select(F.col("l_key").alias("key"), F.col("a").alias("node"))
+            leads = named if leads is None else staged(leads.union(named), "leads")
+        right = opened.select(F.col("node").alias("b"), *(F.col(c).alias(f"r_{c}") for c in ("key", "comp", *small)))
         if last:
-            wide = staged(opened.select("key", "comp", F.col("node").alias("of")).join(payload, F.col("of") == F.col("node")).drop("of"), "members")
-            one = wide.select(*(F.col(c).alias(f"l_{c}") for c in wide.columns))
-            two = wide.select(*(F.col(c).alias(f"r_{c}") for c in wide.columns))
-            met = one.join(two, (F.col("l_key") == F.col("r_key")) & (F.col("l_comp") < F.col("r_comp")) & likely())
-            pairs = met.select(F.col("l_node").alias("a"), F.col("r_node").alias("b")).distinct()
+            best = opened.select(F.col("node").alias("a"), *(F.col(c).alias(f"l_{c}") for c in ("key", "comp", *small)))
+            apart = F.col("l_comp") < F.col("r_comp")
         else:
-            named = best.select(F.col("k").alias("key"), F.col("lead").alias("node"))
-            leads = named if leads is None else staged(leads.union(named), "leads")
-            met = opened.join(best, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("lead_comp")))
-            pairs = met.groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
+            apart = F.col("l_comp") != F.col("r_comp")
+        met = best.join(right, (F.col("l_key") == F.col("r_key")) & apart & near())
+        pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"))
+        if likely is not None:
             pairs = _with_payload(pairs, payload).where(likely())
+        if not last:  # one leader for each row is enough for now
             pairs = pairs.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("top"))
             pairs = pairs.select((-F.col("top.a")).alias("a"), "b")
-        found = verify(staged(pairs, "pairs")).select("a", "b")
+        found = verify(staged(pairs.select("a", "b"), "pairs")).select("a", "b")
         edges = staged(found if edges is None else edges.union(found), "links")
         if not edges.isEmpty():
             roots = staged(components(edges), "roots")

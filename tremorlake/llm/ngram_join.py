@@ -2,7 +2,8 @@
 
 A pair whose index reaches the threshold shares a token among the first |x| - ceil(t |x|) + 1 tokens of
 each set under any global order. The first order (frequent tokens last) gives join keys; a candidate
-must also share prefix tokens under two more orders before its whole texts are compared. How frequent a
+must also share prefix tokens under two more orders, and the smaller counts of 64 bins of tokens, which
+bound the intersection, must reach the threshold, before its whole texts are compared. How frequent a
 token is comes from a table of 65,536 counters over all documents, so its size does not depend on them.
 
 Documents with equal sets are one node. Words are runs of non-blanks, A-Z lower-cased. With fewer words
@@ -27,6 +28,7 @@ from tremorlake.operators.sizing import broadcast_when_small
 WORDS = 3
 LEAST = 90  # per cent
 COUNTERS = 1 << 16
+_BINS = 6  # bits of a token's hash that choose its bin
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _REMEMBERED = 500_000
 
@@ -85,13 +87,13 @@ def _counters(docs: DataFrame, width: int) -> np.ndarray:
 
 def _signatures(docs: DataFrame, width: int, least: int, frequent) -> DataFrame:
     """Per row the set's size and hash and its prefixes under three orders."""
-    schema = "doc_id bigint, md5 string, n bigint, digest binary, first array<bigint>, second array<smallint>, third array<smallint>"
-    names = ["doc_id", "md5", "n", "digest", "first", "second", "third"]
+    schema = "doc_id bigint, md5 string, n bigint, digest binary, first array<bigint>, second array<smallint>, third array<smallint>, spread array<int>"
+    names = ["doc_id", "md5", "n", "digest", "first", "second", "third", "spread"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, table = Shingler(width), frequent.value
         for batch in batches:
-            sizes, digests, prefixes = [], [], ([], [], [])
+            sizes, digests, prefixes = [], [], ([], [], [], [])
             for text in batch.column(2).to_pylist():
                 tokens = shingles(text)
                 take = prefix_size(len(tokens), least) if len(tokens) else 0
@@ -105,8 +107,10 @@ def _signatures(docs: DataFrame, width: int, least: int, frequent) -> DataFrame:
                         ranked = np.partition(ranked, take - 1)[:take]
                     # Equal short forms of different tokens only let a candidate pass.
                     prefixes[which].append((ranked & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16))
+                places = (mixed(tokens, 3) >> np.uint64(64 - _BINS)).astype(np.int64)
+                prefixes[3].append(np.bincount(places, minlength=1 << _BINS).astype(np.int32))
             arrays = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())]
-            for part, kind in zip(prefixes, (pa.int64(), pa.int16(), pa.int16())):
+            for part, kind in zip(prefixes, (pa.int64(), pa.int16(), pa.int16(), pa.int32())):
                 offsets = np.zeros(len(part) + 1, np.int32)
                 np.cumsum([len(x) for x in part], out=offsets[1:])
                 flat = np.concatenate(part) if part else np.empty(0, np.int64)
@@ -163,17 +167,20 @@ def join(docs: DataFrame, width: int = WORDS, least: int = LEAST) -> DataFrame:
         "sets",
     )
     same = (F.col("md5") == F.col("rep_md5")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))
-    signed = rows.where("n > 0").select("doc_id", "md5", "first", "second", "third")
+    signed = rows.where("n > 0").select("doc_id", "md5", "first", "second", "third", "spread")
     nodes = signed.join(sets.where("n > 0"), same).dropDuplicates(["node"])
-    nodes = staged(nodes.select("node", "n", "first", "second", "third"), "nodes")
+    nodes = staged(nodes.select("node", F.col("n").alias("size"), "first", "second", "third", "spread"), "nodes")
+
+    def near():
+        return 100 * F.least("l_size", "r_size") >= least * F.greatest("l_size", "r_size")
 
     def likely():
-        smaller, larger = F.least("l_n", "r_n"), F.greatest("l_n", "r_n")
-        sizes = 100 * smaller >= least * larger
-        return sizes & F.arrays_overlap("l_second", "r_second") & F.arrays_overlap("l_third", "r_third")
+        most = F.aggregate(F.zip_with("l_spread", "r_spread", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+        bound = 100 * most >= least * (F.col("l_size") + F.col("r_size") - most)
+        return F.arrays_overlap("l_second", "r_second") & F.arrays_overlap("l_third", "r_third") & bound
 
-    members = nodes.select(F.explode("first").alias("key"), "node")
-    roots = link(members, nodes.drop("first"), likely, _verifier(docs, sets, width, least))
+    members = nodes.select(F.explode("first").alias("key"), "node", "size")
+    roots = link(members, near, _verifier(docs, sets, width, least), nodes.drop("first"), likely, spare=4)
     if roots is None:
         placed = sets.withColumn("root", F.col("node"))
     else:
