@@ -144,3 +144,27 @@ def test_scratch_follows_the_session(spark):
 
 def test_rebalance_hint_is_in_the_plan(spark, plan_of):
     assert "REBALANCE_PARTITIONS_BY_COL" in plan_of(balanced(days(spark, [(1, ONE)]), "dt"))
+
+
+def test_threads_overwrite_partitions_side_by_side(spark):
+    """Two tables written at once lose no untouched partition, and the session's setting stays."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting)
+    names = ["side_a", "side_b"]
+    rows = spark.range(4).selectExpr("id", "concat('d', id % 2) as day")
+
+    def rounds(name):
+        for turn in range(4):
+            write_table(rows, name, ["day"])
+            write_table(spark.sql(f"select {turn + 10}L as id, 'd1' as day"), name, ["day"], overwrite="partitions")
+            found = sorted((r.day, r.id) for r in spark.table(name).collect())
+            assert found == [("d0", 0), ("d0", 2), ("d1", turn + 10)]
+        return True
+
+    with ThreadPoolExecutor(2) as pool:
+        assert all(pool.map(rounds, names))
+    assert spark.conf.get(setting) == before
+    for name in names:
+        spark.sql(f"drop table {name}")

@@ -58,8 +58,12 @@ def direction(v: Vector) -> Vector:
 
 
 def arc_km(cosine: Column) -> Column:
-    """Great-circle length of the angle with this cosine, which rounding may push past +-1."""
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) * EARTH_RADIUS_KM
+    """Great-circle length of the angle with this cosine, which rounding may push past +-1.
+
+    NULL where the cosine is NULL or NaN; ``least`` and ``greatest`` alone would skip a NULL.
+    """
+    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))
+    return F.when(cosine.isNotNull() & ~F.isnan(cosine), F.acos(bounded) * EARTH_RADIUS_KM)
 
 
 def great_circle_km(point: Vector, centre: Vector) -> Column:

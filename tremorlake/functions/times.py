@@ -11,8 +11,8 @@ EPOCH_TEXT = r"^\d+$"
 
 _INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
 
-#: Epoch milliseconds beyond this do not fit a microsecond timestamp.
-_MAX_MILLIS = 9_000_000_000_000_000
+#: The last epoch millisecond of a microsecond timestamp, which is a 64-bit integer.
+_MAX_MILLIS = (2**63 - 1) // 1000
 
 
 def event_timestamp(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from contextlib import closing
 from typing import NamedTuple
 
 from pyspark import StorageLevel
@@ -105,6 +106,9 @@ def cluster_spheres(
     features = features.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sweep = sweep_kmeans(features, collect_moments(features), ks, trials, parallelism)
+    except BaseException:
+        staged.drop()
+        raise
     finally:
         features.unpersist()
 
@@ -119,7 +123,8 @@ def cluster_spheres(
         members = sweep.model.transform(assemble(staged.df, ["x", "y", "z"])).withColumnRenamed(
             "prediction", "cluster_id"
         )
-    dimension = sphere_dimension(centres, members)
+    # All events train the model, but a radius spans the members that can be named.
+    dimension = sphere_dimension(centres, members.where("id is not null"))
     fact = sphere_daily_fact(assign_spheres(events, sweep.model))
     return SphereClusters(metrics, dimension, fact, sweep, staged)
 
@@ -136,10 +141,10 @@ def run_cluster_spheres(
 ) -> None:
     """Metrics and dimension as CSV directories, the fact as a Parquet directory."""
     result = cluster_spheres(scan_table(spark, source), ks, trials, parallelism)
-    write_csv(result.metrics, metrics_path)
-    write_csv(result.dimension, dimension_path)
-    write_parquet(result.fact, fact_path)
-    result.close()
+    with closing(result):
+        write_csv(result.metrics, metrics_path)
+        write_csv(result.dimension, dimension_path)
+        write_parquet(result.fact, fact_path)
 
 
 class Zones(NamedTuple):
@@ -171,6 +176,9 @@ def cluster_zones(
         try:
             model = fit_zones(training, k, seed)
             members = model.transform(assemble(staged.df, axes)).drop("features")
+        except BaseException:
+            staged.drop()
+            raise
         finally:
             training.unpersist()
     return Zones(zone_dimension(members), zone_daily_fact(members), staged)
@@ -186,6 +194,6 @@ def run_cluster_zones(
     overwrite: str = "full",
 ) -> None:
     result = cluster_zones(scan_table(spark, source), k, seed)
-    write_table(result.dimension, dimension_table)
-    write_table(result.fact, fact_table, ["dt"], overwrite=overwrite)
-    result.close()
+    with closing(result):
+        write_table(result.dimension, dimension_table)
+        write_table(result.fact, fact_table, ["dt"], overwrite=overwrite)

@@ -41,12 +41,16 @@ def build_session(
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a laptop or a test) gets a local folder of its own.
+    A session that names none gets a local folder if its master is ``local[...]``, as on a laptop or
+    in a test; on a cluster, whose executors would not share that folder, it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.tremorlake.localScratch", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"{master}: set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tremorlake-")
         spark.conf.set("spark.tremorlake.localScratch", root)
     return root.rstrip("/")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tremorlake.session import scratch_path
 
-_OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
+_OVERWRITE_MODE = "partitionOverwriteMode"
 
 
 def balanced(df: DataFrame, *columns: str) -> DataFrame:
@@ -21,16 +20,6 @@ def balanced(df: DataFrame, *columns: str) -> DataFrame:
     return df.hint("rebalance", *columns)
 
 
-@contextmanager
-def _overwrite_mode(spark: SparkSession, mode: str) -> Iterator[None]:
-    before = spark.conf.get(_OVERWRITE_MODE)
-    spark.conf.set(_OVERWRITE_MODE, mode)
-    try:
-        yield
-    finally:
-        spark.conf.set(_OVERWRITE_MODE, before)
-
-
 def write_table(
     df: DataFrame,
     table: str,
@@ -49,20 +38,21 @@ def write_table(
     data = balanced(df, *partition_by)
     if overwrite == "partitions" and not partition_by:
         raise ValueError("overwriting partitions needs partition columns")
-    # The session setting is used because an insert ignores the writer's own overwrite option, and
-    # saving a table would keep that option as a property of the table.
+    # The scope is an option of this one write, never a setting of the session, which other threads
+    # share. An insert into the table would ignore the option, so partitions go to its location.
     if overwrite == "partitions" and spark.catalog.tableExists(table):
-        with _overwrite_mode(spark, "dynamic"):
-            # An insert matches columns by position.
-            data.select(*spark.table(table).columns).write.insertInto(table, overwrite=True)
+        facts = spark.sql(f"describe extended {table}")
+        location = facts.where("col_name = 'Location'").first()["data_type"]
+        write_parquet(df.select(*spark.table(table).columns), location, partition_by, "partitions")
+        spark.catalog.recoverPartitions(table)
+        spark.catalog.refreshTable(table)
         return
-    writer = data.write.mode("overwrite").format("parquet")
+    writer = data.write.mode("overwrite").format("parquet").option(_OVERWRITE_MODE, "static")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if path is not None:
         writer = writer.option("path", path)
-    with _overwrite_mode(spark, "static"):
-        writer.saveAsTable(table)
+    writer.saveAsTable(table)
 
 
 def write_parquet(
@@ -70,7 +60,7 @@ def write_parquet(
 ) -> None:
     """Overwrite a Parquet directory, whole or only the partitions that ``df`` contains."""
     scope = {"full": "static", "partitions": "dynamic"}[overwrite]
-    writer = balanced(df, *partition_by).write.mode("overwrite").option("partitionOverwriteMode", scope)
+    writer = balanced(df, *partition_by).write.mode("overwrite").option(_OVERWRITE_MODE, scope)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
