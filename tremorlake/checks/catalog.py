@@ -194,7 +194,7 @@ def feed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     usgs, terraquake = scratch_path(spark, "usgs"), scratch_path(spark, "terraquake")
     write_parquet(V.usgs_feed(spark, sf_dir), usgs, ["dt"])
     write_parquet(V.terraquake_feed(spark, sf_dir), terraquake, ["dt"])
-    halves = ["dt=????-??-[01]?", "dt=????-??-[23]?"]
+    halves = ["dt=????-??-[01]?", "dt=????-??-[23]?", "dt=[!0-9]*"]  # the last: no day
     present = [glob for glob in halves if _matches(spark, f"{terraquake}/{glob}")]
     feeds = [
         normalize_feed(scan_feed(spark, usgs), USGS),
