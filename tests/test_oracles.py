@@ -26,3 +26,11 @@ def test_entry_runs(spark):
 
 def test_entry_lists_match():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_shown_null_is_not_a_number(spark):
+    from tremorlake.checks.present import shown
+
+    kinds = {"a": "int", "b": "r6", "c": "text", "d": "day", "e": "num"}
+    row = spark.sql("select cast(null as int) a, cast(null as double) b, cast(null as string) c, cast(null as date) d, cast(null as double) e")
+    assert shown(row, kinds).collect() == [(None,) * 5]

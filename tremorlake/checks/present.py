@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: kind -> (Spark type or number of decimals, value shown for NULL)
+#: kind -> decimals
 _ROUNDED = {"r6": 6, "r9": 9, "r10": 10}
 
 #: Added before rounding in both engines. An average such as 1.00619296875 lies exactly between two
@@ -14,32 +14,26 @@ _OFF_TIE = 1.7e-12
 
 
 def _spark(name: str, kind: str) -> Column:
+    """NULL stays NULL; whole numbers and days get one width in both engines."""
     column = F.col(name)
     if kind == "day":
-        shown = F.coalesce(column.cast("string"), F.lit(""))
+        column = column.cast("string")
     elif kind == "int":
-        shown = F.coalesce(column.cast("bigint"), F.lit(-1).cast("bigint"))
-    elif kind == "text":
-        shown = F.coalesce(column, F.lit(""))
-    elif kind == "num":
-        shown = F.coalesce(column, F.lit(-1.0))
-    else:
+        column = column.cast("bigint")
+    elif kind in _ROUNDED:
         # The added zero turns a rounded -0.0 into 0.0.
-        shown = F.coalesce(F.round(column + _OFF_TIE, _ROUNDED[kind]) + 0.0, F.lit(-1.0))
-    return shown.alias(name)
+        column = F.round(column + _OFF_TIE, _ROUNDED[kind]) + 0.0
+    return column.alias(name)
 
 
 def _sql(name: str, kind: str) -> str:
     if kind == "day":
-        return f"coalesce(cast({name} as varchar), '') as {name}"
+        return f"cast({name} as varchar) as {name}"
     if kind == "int":
-        return f"coalesce(cast({name} as bigint), -1) as {name}"
-    if kind == "text":
-        return f"coalesce({name}, '') as {name}"
-    if kind == "num":
-        return f"coalesce({name}, cast(-1 as double)) as {name}"
-    digits = _ROUNDED[kind]
-    return f"coalesce(round({name} + {_OFF_TIE}, {digits}) + cast(0 as double), cast(-1 as double)) as {name}"
+        return f"cast({name} as bigint) as {name}"
+    if kind in _ROUNDED:
+        return f"round({name} + {_OFF_TIE}, {_ROUNDED[kind]}) + cast(0 as double) as {name}"
+    return name
 
 
 def shown(df: DataFrame, columns: dict[str, str]) -> DataFrame:

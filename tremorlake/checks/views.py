@@ -75,8 +75,8 @@ GAPPY = """gappy as (
 
 
 def usgs_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two thirds of the quakes as nested GeoJSON; some appear again a second later (a revision)."""
-    q = quakes(spark, sf_dir).filter(F.col("event_id") % 3 != 0)
+    """Five sixths of the quakes as nested GeoJSON; some appear again a second later (a revision)."""
+    q = quakes(spark, sf_dir).filter((F.col("event_id") % 3 != 0) | (F.col("event_id") % 6 == 3))
     once, twice = F.array(F.lit(0)), F.array(F.lit(0), F.lit(1000))
     revised = q.withColumn("later", F.explode(F.when(F.col("event_id") % 10 == 1, twice).otherwise(once)))
     return revised.select(
@@ -110,11 +110,11 @@ def terraquake_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 UNIFIED = """unified as (
   select id, dt, magnitude, mag_type, place, time_utc, longitude, latitude, depth_km, source_system
-  from quakes where event_id % 3 <> 0
+  from quakes where (event_id % 3 <> 0 or event_id % 6 = 3)
   union all
   select id, dt, magnitude, mag_type, place, time_utc + 1000, longitude, latitude, depth_km,
          source_system
-  from quakes where event_id % 3 <> 0 and event_id % 10 = 1
+  from quakes where (event_id % 3 <> 0 or event_id % 6 = 3) and event_id % 10 = 1
   union all
   select 'T' || id, dt, magnitude + cast(event_id % 3 as double) / cast(10 as double), 'mw', place,
          time_utc, longitude, latitude, depth_km, 'Terraquake'
@@ -147,24 +147,31 @@ REGIONS = """regions as (
 
 
 def small_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One 5 x 5 degree box per customer, so the dimension grows with the data."""
+    """One square box per customer, so the dimension grows with the data.
+
+    The side shrinks with the root of their number: together the boxes always cover the same area.
+    """
+    customers = load(spark, sf_dir, "customer")
     key = F.col("c_custkey")
     lat, lon = (key * 53) % 171 - 88, (key * 89) % 350 - 178
-    return load(spark, sf_dir, "customer").select(
+    side = F.lit(5.0) * F.sqrt(F.lit(150.0) / F.lit(customers.count()))
+    return customers.select(
         key.cast("int").alias("region_id"),
         lat.cast("double").alias("lat_min"),
-        (lat + 5).cast("double").alias("lat_max"),
+        (lat.cast("double") + side).alias("lat_max"),
         lon.cast("double").alias("lon_min"),
-        (lon + 5).cast("double").alias("lon_max"),
+        (lon.cast("double") + side).alias("lon_max"),
     )
 
 
 SMALL_BOXES = """regions as (
   select c_custkey as region_id,
          cast((c_custkey * 53) % 171 - 88 as double) as lat_min,
-         cast((c_custkey * 53) % 171 - 83 as double) as lat_max,
+         cast((c_custkey * 53) % 171 - 88 as double)
+           + cast(5 as double) * sqrt(cast(150 as double) / (select count(*) from customer)) as lat_max,
          cast((c_custkey * 89) % 350 - 178 as double) as lon_min,
-         cast((c_custkey * 89) % 350 - 173 as double) as lon_max
+         cast((c_custkey * 89) % 350 - 178 as double)
+           + cast(5 as double) * sqrt(cast(150 as double) / (select count(*) from customer)) as lon_max
   from customer)"""
 
 
