@@ -115,7 +115,7 @@ def test_mixing_meets_targets(documents, edge_rows):
     for taken, target in sums.values():
         assert abs(taken - target) < 1
     assert sum(t for _, t in sums.values()) == pytest.approx(1.5 * sum(r["size"] for r in got))
-    order = mixing.training_order(mixing.mix(documents(*edge_rows))).collect()
+    order = mixing.training_order(documents(*edge_rows)).collect()
     places = [r.position for r in order]
     assert places == sorted(places) and sum(r["take"] for r in order) == sum(r.taken for r in got)
     assert mixing.mix(documents().where("false")).count() == 0

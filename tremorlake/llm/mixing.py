@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorlake.llm.common import running_total, staged, text_of, words_of
+from tremorlake.operators.sizing import broadcast_when_small
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -113,9 +114,22 @@ def mix(docs: DataFrame, keep: Sequence[str] | None = None, schedules: Sequence[
     )
 
 
-def training_order(mixed: DataFrame) -> DataFrame:
-    """One row for each pass that takes a document, with ``take`` and ``position``, sorted by position."""
+def _passes(mixed: DataFrame) -> DataFrame:
+    """One row for each pass that takes a document, with ``take`` and ``position``."""
     passes = F.explode(F.arrays_zip(F.col("takes").alias("take"), F.col("positions").alias("position")))
     rows = mixed.select(*(c for c in mixed.columns if c not in ("takes", "positions", "take", "position")), passes.alias("__pass"))
-    rows = rows.where("__pass.take > 0").select("*", "__pass.take", "__pass.position").drop("__pass")
-    return rows.orderBy("position", "doc_id")
+    return rows.where("__pass.take > 0").select("*", "__pass.take", "__pass.position").drop("__pass")
+
+
+def training_order(docs: DataFrame, **rules) -> DataFrame:
+    """``docs`` once for each pass that takes a document, with size, take and position, sorted by position.
+
+    The documents are written once with a row number. Only ids, sources and sizes go through the running
+    totals; the texts meet their passes at the end, without a shuffle while the passes measure small, and
+    are range-sorted. Columns named size, take and position are replaced.
+    """
+    wide = staged(docs.drop("size", "take", "position").withColumn("__row", F.monotonically_increasing_id()), "documents")
+    passes = _passes(mix(wide, keep=("doc_id", "source", "__row"), **rules))
+    passes = staged(passes.select(F.col("__row").alias("__of"), "size", "take", "position"), "passes")
+    passes = broadcast_when_small(passes, max_bytes=32 << 20)
+    return wide.join(passes, F.col("__row") == F.col("__of")).drop("__row", "__of").orderBy("position", "doc_id")
