@@ -127,8 +127,13 @@ def locate(
         return events.join(F.broadcast(boxes), _inside(events, boxes), how)
 
     edge = plan.cell_degrees
+    # A missing coordinate has no cell: an inner join filters it before the shuffle or lookup.
+    placed = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     points = events.withColumns(
-        {_LAT: _cell(F.col("latitude"), edge), _LON: _cell(F.col("longitude"), edge)}
+        {
+            _LAT: F.when(placed, _cell(F.col("latitude"), edge)),
+            _LON: F.when(placed, _cell(F.col("longitude"), edge)),
+        }
     )
     cells = _covered(boxes, edge)
     keys = [_LAT, _LON]
