@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorlake.llm.common import components, staged
+from tremorlake.operators.sizing import broadcast_when_small
 
 
 def _with_payload(pairs: DataFrame, payload: DataFrame) -> DataFrame:
@@ -41,6 +42,8 @@ def link(
     """
     small = [c for c in members.columns if c not in ("key", "node")]
     counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "n")
+    # Most keys stand alone, so the shared ones, measured, mostly fit beside the rows, which then stay where they are.
+    counts = broadcast_when_small(staged(counts, "shared"), max_bytes=16 << 20)
     shared = staged(members.join(counts, F.col("key") == F.col("k")).drop("k"), "members")
     edges = roots = leads = scores = before = None
     while True:
