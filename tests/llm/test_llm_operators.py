@@ -145,6 +145,19 @@ def test_line_dedup_finds_small_edits(documents):
     assert got == {1: 0, 2: 1}
 
 
+@pytest.mark.parametrize("words", [5, 10, 20, 40])
+def test_line_dedup_finds_a_changed_word_in_any_length(documents, words):
+    rows = []
+    for i in range(30):
+        line = _prose(1000 * words + i, words).translate(str.maketrans("0123456789", "bcdfghjkmp")).split()
+        line[i % words] = "cat" if words > 5 else "ab"
+        rows.append((2 * i, " ".join(line), "en", "a"))
+        line[i % words] = "dog" if words > 5 else "abc"
+        rows.append((2 * i + 1, " ".join(line), "en", "a"))
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup(documents(*rows)).collect()}
+    assert got == {i: i % 2 for i in range(60)}
+
+
 def test_bpe_equals_tiktoken(documents, edge_rows):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as file:
