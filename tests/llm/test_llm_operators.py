@@ -158,6 +158,14 @@ def test_line_dedup_finds_a_changed_word_in_any_length(documents, words):
     assert got == {i: i % 2 for i in range(60)}
 
 
+def test_line_dedup_takes_short_lines_and_all_scripts(documents):
+    chinese = "这是一个关于数据处理的很长的句子没有任何空格用来测试重复行的删除效果如何"
+    lines = ["Read more!", "2024-01-02", "  ", chinese]
+    rows = [(1, "\n".join(lines), "en", "a"), (2, "\n".join(["read MORE", " 2024-01-02", "  ", chinese + "吗", "2024-01-03"]), "en", "a")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup(documents(*rows)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("  \n2024-01-03", 3)}
+
+
 def test_bpe_equals_tiktoken(documents, edge_rows):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as file:
