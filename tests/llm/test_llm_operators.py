@@ -90,6 +90,19 @@ def test_url_filters_follow_the_dates(spark):
     assert url_filters.evaluate(captures.limit(0), entries.limit(0)).count() == 0
 
 
+def test_url_filters_keep_categories_apart(spark):
+    entries = spark.sql(
+        "select * from values ('bad.example', 'malware', date'2024-01-01', 'add'), ('bad.example', 'adult', date'2024-01-05', 'add'),"
+        " ('bad.example', 'adult', date'2024-01-08', 'remove'), ('bad.example', 'allow', date'2024-01-20', 'add') as t(pattern, category, dated, action)"
+    )
+    captures = spark.sql(
+        "select cast(n as int) as page_id, 'http://bad.example/' as url, date_add(date'2024-01-01', cast(n as int) - 1) as fetched"
+        " from explode(array(1, 5, 8, 20)) as t(n)"
+    )
+    got = sorted((r.page_id, r.n_active, r.category, r.blocked) for r in url_filters.evaluate(captures, entries).collect())
+    assert got == [(1, 1, "malware", True), (5, 2, "adult", True), (8, 1, "malware", True), (20, 2, "allow", False)]
+
+
 def test_license_scans(documents):
     rows = [
         (1, "intro\nLicensed under the APACHE license, version 2.0!\nend", "en", "a"),

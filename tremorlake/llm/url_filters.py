@@ -1,13 +1,14 @@
 """URL filters with dated lists: temporal list join.
 
-List entries are dated: on a day a pattern is added to a category or removed from it. A pattern's
-entries become validity intervals, each up to the day before the pattern's next entry. A capture is
+List entries are dated: on a day a pattern is added to a category or removed from it. The entries of a
+pattern in a category become validity intervals, each up to the day before the next entry of both. A capture is
 evaluated against the entries active when it was fetched: its URL gives the patterns that could name it
 (host, parent domains, host with each leading part of the path), and an as-of join on pattern and time
-finds the active ones. The most specific (longest) pattern decides; category ``allow`` lifts a block.
+finds the active ones. The most specific (longest) pattern decides. If it is active in several
+categories, ``allow``, which lifts a block, comes first, then the smallest.
 
 A NULL or unparsable URL, or a NULL fetch date, matches nothing. Entries without pattern or date are
-ignored. Of several entries of a pattern on one day an addition wins, then the smallest category.
+ignored. Of several entries of a pattern and category on one day an addition wins; a NULL category is the empty one.
 Repeated captures are evaluated one by one. Columns other than the ones named here are left out.
 """
 
@@ -44,12 +45,12 @@ def patterns_of(url: Column) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, category, valid_from, valid_to) from dated entries (pattern, category, dated, action)."""
     clean = entries.where("pattern is not null and dated is not null and action in ('add', 'remove')")
-    daily = clean.groupBy("pattern", "dated").agg(
-        F.min(F.when(F.col("action") == "add", F.coalesce("category", F.lit("")))).alias("category")
-    )
-    following = F.lead("dated").over(Window.partitionBy("pattern").orderBy("dated"))
-    spans = daily.select("pattern", "category", F.col("dated").alias("valid_from"), following.alias("valid_to"))
-    return spans.where("category is not null")
+    keys = ["pattern", "category", "dated"]
+    clean = clean.withColumn("category", F.coalesce("category", F.lit("")))
+    daily = clean.groupBy(*keys).agg(F.max(F.col("action") == "add").alias("added"))
+    following = F.lead("dated").over(Window.partitionBy("pattern", "category").orderBy("dated"))
+    spans = daily.select("pattern", "category", F.col("dated").alias("valid_from"), following.alias("valid_to"), "added")
+    return spans.where("added").drop("added")
 
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -66,7 +67,8 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
         & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
     )
     met = asked.join(active, asof, "left")
-    deciding = F.max(F.when(F.col("pattern").isNotNull(), F.struct(F.char_length("pattern").alias("n"), "pattern", "category")))
+    order = F.struct((-F.char_length("pattern")).alias("n"), "pattern", (F.col("category") != "allow").alias("blocks"), "category")
+    deciding = F.min(F.when(F.col("pattern").isNotNull(), order))
     judged = met.groupBy("__row", "page_id", "url", "fetched").agg(
         F.count("pattern").alias("n_active"), deciding.alias("__best")
     )
