@@ -333,3 +333,12 @@ def test_pipeline_stages_take_effect(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert last.count() == docs.count() == corpus_pipeline.run(spark, sf_dir).count()
     assert docs.where(F.col("n_chars") != F.char_length("text")).count() == 0
+
+
+def test_pipeline_drops_copies_with_one_word_in_fifty_replaced(documents, spark):
+    import corpus_pipeline
+
+    words = _prose(11, 300).split()
+    near = [f"w{i}" if i % 50 == 25 else w for i, w in enumerate(words)]
+    docs = documents((1, " ".join(words), "en", "a"), (2, " ".join(near), "en", "a"))
+    assert [r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()] == [1]
