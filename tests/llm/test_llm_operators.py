@@ -276,6 +276,27 @@ def test_html_extraction(spark):
     assert got == [(i, t, len(t)) for i, t in expected]
 
 
+@pytest.mark.parametrize("outer", ["site has-sidebar", "no-sidebar", "share-something", "content sidebar-wrapper"])
+def test_html_keeps_articles_in_named_wrappers(outer):
+    page = f"<body><div class='{outer}'><main><article><p>the text</p><div class='site-footer'>foot</div></article></main></div></body>"
+    assert html_text.main_text(page) == "the text"
+    assert html_text.main_text("<div class='comments'><article>great post</article></div><nav><article>x</article></nav>") == ""
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Это был длинный рассказ о том, как он жил в городе и не знал, что с ним будет. " * 4,
+        "To jest długi tekst o tym, jak się żyło w mieście, i nie było to łatwe dla nikogo. " * 4,
+        "这是一个很长的故事，讲述了他在城市里的生活，他不知道将来会发生什么。" * 4,
+        "Tämä on pitkä kertomus siitä, miten hän asui kaupungissa eikä tiennyt tulevasta mitään. " * 4,
+    ],
+)
+def test_html_judges_other_languages(text):
+    page = f"<body><div><a href=1>menu</a></div><p>{text}</p><p>{text}</p><div>© us</div></body>"
+    assert html_text.main_text(page) == f"{text.strip()}\n{text.strip()}"
+
+
 def test_quality_rules_against_brute_force(documents, edge_rows):
     repeated = "a b c d e f g h i " * 5
     rows = [*edge_rows, (20, repeated, "en", "a"), (21, "same line\nsame line\n\n\nother | # $", "en", "a")]

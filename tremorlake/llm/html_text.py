@@ -2,7 +2,10 @@
 
 A page is cut into blocks at block-level tags. First pass: menus, headers, footers, sidebars, notices,
 adverts, forms and comments are decided by their containers; then link density, the density of stop
-words and length decide, and what stands in an article and is not mostly links is text. Second pass:
+words and length decide, and what stands in an article and is not mostly links is text. An article or main
+element inside a form or a container known by its name alone is text again, but for an article among comments
+or related pages. Pages whose text shares too few words with every list of stop words (counted apart for Latin
+and other scripts) are judged by length and sentence ends. Second pass:
 blocks too short or too plain to decide inherit the label of their nearest decided neighbours; a heading
 follows the block after it.
 
@@ -40,6 +43,12 @@ _OFF_NAMES = frozenset(
     "respond replies reply related recommended share sharing social subscribe newsletter signup login search pagination pager widget "
     "widgets toolbar disclaimer copyright masthead skip toc".split()
 )
+#: Parts that say where or what an element of these names is. Other parts (has-, no-) give a class another meaning.
+_PLAIN_NAMES = frozenset(
+    "site page main global left right primary secondary top bottom upper lower first second inner outer box list block container wrapper wrap "
+    "section area item items link links button buttons bar post entry article content text form google id".split()
+)
+_LISTED = frozenset("comment comments disqus respond replies reply related recommended".split())
 _TOP_NAMES = frozenset("header headers topbar".split())
 _STOP = frozenset(
     "the of and to in is it that for was on are with as be this by from or an at which a i not have has had were but they his her he she "
@@ -47,6 +56,20 @@ _STOP = frozenset(
     "der die das und den von zu mit sich dem des ein eine ist im nicht es auch auf für als an aus bei nach wird sind "
     "el los las y del que una se con por para su al lo como más o pero sus le no es en".split()
 )
+_OTHER_STOPS = tuple(
+    frozenset(words.split())
+    for words in (
+        "и в не на я быть он с что а по это она этот к но они мы весь который из у то за свой от так о для ты же все год как его было были был при до или их бы если",
+        "i w nie na z do to że się o a jak za co po jest od przez przy dla tak tym był ale czy być oraz które który przed jego ich są tego",
+        "di e che il la un a per in una sono mi si lo ha le con i da ma non del della dei al alla nel più come anche questo gli era",
+        "de a o que e do da em um para é com não uma os no se na por mais as dos como mas foi ao ele das tem à seu sua ou são",
+        "de het een en van in is dat op te zijn voor met die niet aan er om ook als dan maar bij of uit nog naar heeft ze door werd",
+    )
+)
+_LATIN = re.compile(r"[a-zA-Z\u00c0-\u024f\u1e00-\u1eff]")
+#: Letters of scripts without blanks; one stands for about three of an alphabet.
+_DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+_END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f\u0964\u061f\u06d4]")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
@@ -59,6 +82,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SHORT, _LONG = 70, 200
 _LINKS = 0.5
 _FEW, _MANY = 0.2, 0.3
+_FOREIGN = 0.1
 
 
 @dataclass
@@ -71,14 +95,20 @@ class Block:
     label: str = ""
 
 
+def _known(token: str, names: frozenset[str]) -> set[str]:
+    """The names in a class or id, if it says nothing else."""
+    parts = {part for part in re.split(r"[_-]+", token) if part and not part.isdigit()}
+    return parts & names if parts <= names | _PLAIN_NAMES else set()
+
+
 def _names(rest: str) -> tuple[set[str], str, bool]:
-    """Parts of class and id, the role, and whether the element is hidden."""
+    """Classes and ids, the role, and whether the element is hidden."""
     names, role, hidden = set(), "", False
     for m in _ATTRIBUTE.finditer(rest):
         key = m["key"].lower()
         value = html.unescape(m["a"] or m["b"] or m["c"] or "").lower()
         if key in ("class", "id"):
-            names.update(re.split(r"[\s_-]+", value))
+            names.update(value.split())
         elif key == "role":
             role = value.strip()
         elif key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value):
@@ -87,17 +117,28 @@ def _names(rest: str) -> tuple[set[str], str, bool]:
 
 
 def _inside(tag: str, rest: str, outer: int, off_by: str) -> tuple[int, str]:
-    """What the element's container says, given its parent's; and the tag that switched text off."""
-    names, role, hidden = _names(rest) if rest.strip() else (set(), "", False)
-    main = tag in ("article", "main") or role in ("main", "article")
+    """What the element's container says, given its parent's; and what switched text off: a tag, "name" or "listed"."""
+    tokens, role, hidden = _names(rest) if rest.strip() else (set(), "", False)
+    off = {name for token in tokens for name in _known(token, _OFF_NAMES)}
+    main, whole = tag in ("article", "main") or role in ("main", "article"), tag == "main" or role == "main"
+    shut = hidden or tag in _OFF_TAGS or role in _OFF_ROLES
     if outer < 0:
-        return (1, "") if main and off_by == "form" and not names & _OFF_NAMES else (outer, off_by)
+        if main and not shut and not off and (off_by in ("form", "name") or off_by == "listed" and whole):
+            return 1, ""
+        # What a tag shuts inside a named container stays shut for articles, too.
+        if off_by in ("form", "name", "listed") and shut and tag != "form":
+            return -1, tag
+        return outer, "listed" if off_by in ("form", "name") and off & _LISTED else off_by
     if tag in ("body", "html"):
         return outer, ""
-    if hidden or tag in _OFF_TAGS or role in _OFF_ROLES or names & _OFF_NAMES:
-        return -1, tag
-    if outer == 0 and (tag == "header" or names & _TOP_NAMES):
+    if shut:
+        return -1, tag if tag in _OFF_TAGS and not hidden else "shut"
+    if off:
+        return -1, "listed" if off & _LISTED else "name"
+    if outer == 0 and tag == "header":
         return -1, tag
+    if outer == 0 and any(_known(token, _TOP_NAMES) for token in tokens):
+        return -1, "name"
     return (1 if main else outer), ""
 
 
@@ -172,7 +213,34 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def _first(block: Block) -> str:
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + 2 * len(_DENSE.findall(text))
+
+
+def _latin(text: str) -> bool:
+    return text.isascii() or 2 * len(_LATIN.findall(text)) >= sum(map(str.isalpha, text))
+
+
+def _density(words: list[str]) -> float:
+    return max(sum(w in stop for w in words) for stop in (_STOP, *_OTHER_STOPS)) / len(words) if words else 0.0
+
+
+def _words(text: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(text)]
+
+
+def foreign(blocks: list[Block]) -> set[bool]:
+    """Of Latin (True) and other scripts (False) those of which the page's texts are in no listed language."""
+    words: dict[bool, list[str]] = {}
+    if not any(block.inside == 0 and _size(block.text) >= _SHORT for block in blocks):
+        return set()  # nothing is judged by words
+    for block in blocks:
+        if block.inside >= 0 and not block.linked and _size(block.text) >= _SHORT:
+            words.setdefault(_latin(block.text), []).extend(_words(block.text))
+    return {latin for latin, all_ in words.items() if _density(all_) < _FOREIGN}
+
+
+def _first(block: Block, unlisted: set[bool]) -> str:
     """good, bad, or for the second pass near and short."""
     size = len("".join(block.text.split()))
     if block.inside < 0 or block.linked > _LINKS * size:
@@ -181,12 +249,15 @@ def _first(block: Block) -> str:
         return "good"
     if "©" in block.text:
         return "bad"
-    if len(block.text) < _SHORT:
+    if _size(block.text) < _SHORT:
         return "bad" if block.linked else "short"
-    words = [w.lower() for w in _WORD.findall(block.text)]
-    density = sum(w in _STOP for w in words) / len(words) if words else 0.0
+    if _latin(block.text) in unlisted:
+        if _END.search(block.text) is None and not _DENSE.search(block.text):
+            return "bad"
+        return "good" if _size(block.text) > _LONG else "near"
+    density = _density(_words(block.text))
     if density >= _MANY:
-        return "good" if len(block.text) > _LONG else "near"
+        return "good" if _size(block.text) > _LONG else "near"
     return "near" if density >= _FEW else "bad"
 
 
@@ -215,8 +286,9 @@ def _second(blocks: list[Block]) -> None:
 
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
+    unlisted = foreign(blocks)
     for block in blocks:
-        block.label = _first(block)
+        block.label = _first(block, unlisted)
     _second(blocks)
     return "\n".join(b.text for b in blocks if b.label == "good")
 
