@@ -321,6 +321,17 @@ def test_quality_rules_against_brute_force(documents, edge_rows):
     assert quality_rules.judge(documents().where("false")).count() == 0
 
 
+def test_quality_rules_reject_repetition_in_groups_of_any_size(documents):
+    def lines(seed, again):
+        texts = [_prose(1000 * seed + i, 12) for i in range(20 - again)]
+        return "\n".join(texts + texts[:1] * again)
+
+    rows = [(i, lines(i, 0), "en", "a") for i in range(80)] + [(100 + i, lines(100 + i, 0), "en", f"s{i}") for i in range(5)]
+    rows += [(200, lines(200, 5), "en", "a"), (201, lines(201, 5), "en", "s1"), (202, lines(202, 5), "fi", None)]
+    got = quality_rules.judge(documents(*rows)).collect()
+    assert {r.doc_id for r in got if not r.kept} == {200, 201, 202} and not any(r.base_failed or r.distance == 0 for r in got)
+
+
 def test_registered_sql_agrees(spark):
     import __spark_entry__ as entry
     import oracle

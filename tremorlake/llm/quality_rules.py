@@ -3,10 +3,12 @@
 For each language and source, centre and scatter of five transformed statistics come from the rows of
 smallest distance (minimum covariance determinant): start from medians and median deviations, then
 repeat: measure Mahalanobis distances, keep the nearest three quarters of each group, take their mean
-and covariance. A document whose squared distance to its group is above the limit is rejected.
+and covariance. A document whose squared distance to its group is above the limit, the 0.999 quantile of
+chi-square with five degrees of freedom, is rejected.
 
 NULL texts count as empty: no words, so base_failed. Documents that fail the base rules take no part in
-the estimates. Groups of fewer than ``least`` rows are pooled; a pool that small rejects nothing. A NULL
+the estimates. A group of fewer than ``least`` rows is judged by the estimates of its whole language or, if that
+is as small, of all rows, however few; so every row is judged. A NULL
 language or source is a value of its own. Equal rows give equal rows.
 """
 
@@ -20,12 +22,12 @@ from tremorlake.llm.common import BLANKS, staged, text_of, words_of
 WINDOW = 8
 STATS = ("s_words", "s_length", "s_symbols", "s_lines", "s_repeat")
 #: Smallest standard deviation that counts, in the units of each statistic.
-FLOORS = (0.5, 0.25, 0.05, 0.1, 0.1)
+FLOORS = (0.1, 0.1, 0.05, 0.1, 0.1)
 NEAREST = 0.75
 #: Makes the covariance of the nearest three quarters of a five-dimensional normal sample unbiased.
 CONSISTENT = 1.41
 STEPS = 3
-LIMIT = 80.0
+LIMIT = 20.515  # one of a thousand rows of a normal group lies beyond it
 LEAST = 50
 
 
@@ -162,21 +164,26 @@ def judge(docs: DataFrame, steps: int = STEPS, limit: float = LIMIT, least: int
     The texts are read once; the statistics are written and read back. Groups meet their estimates in
     joins, so a language and source that holds a third of all rows is split by adaptive execution.
     """
-    names = [F.col("lang"), F.col("source")]
-    group = F.xxhash64(*(x for c in names for x in (c.isNull(), F.coalesce(c.cast("string"), F.lit("")))))
-    rows = staged(_transformed(statistics(docs)).withColumn("__own", group), "statistics")
+    def key(*names: str) -> Column:
+        return F.xxhash64(*(x for c in map(F.col, names) for x in (c.isNull(), F.coalesce(c.cast("string"), F.lit("")))))
+
+    keyed = _transformed(statistics(docs)).withColumns({"__own": key("lang", "source"), "__lang": key("lang")})
+    rows = staged(keyed, "statistics")
     sound = rows.where("not base_failed")
-    sizes = sound.groupBy("__own").count().select(
-        F.col("__own").alias("__of"), F.when(F.col("count") >= least, F.col("__own")).otherwise(0).alias("gid")
-    )
-    sound = staged(sound.join(sizes, F.col("__own") == F.col("__of")).drop("__own", "__of"), "grouped")
+    sizes = staged(sound.groupBy("__own", "__lang").count(), "sizes")
+    langs = sizes.groupBy(F.col("__lang").alias("__l")).agg(F.sum("count").alias("in_lang"))
+    chosen = F.when(F.col("count") >= least, F.col("__own")).when(F.col("in_lang") >= least, F.col("__lang")).otherwise(0)
+    sizes = staged(sizes.join(langs, F.col("__lang") == F.col("__l")).select("__own", "__lang", chosen.alias("chosen")), "chosen")
+    # A group gives its rows to its own estimates and to those that stand in for small groups of its language or of all.
+    stand_in = sizes.where("chosen <> __own").select(F.col("chosen").alias("gid")).distinct()
+    given = sizes.select("__own", "chosen", F.explode(F.array_distinct(F.array("__own", "__lang", F.lit(0)))).alias("gid"))
+    given = given.join(stand_in.withColumnRenamed("gid", "__in"), F.col("gid") == F.col("__in"), "left")
+    given = given.where("gid = chosen or __in is not null").select(F.col("__own").alias("__of"), "gid", (F.col("gid") == F.col("chosen")).alias("judged"))
+    sound = staged(sound.join(given, F.col("__own") == F.col("__of")).drop("__own", "__of", "__lang"), "grouped")
     groups = _start(sound)
     for _ in range(steps):
         groups = _concentrate(sound, groups)
-    few = sound.where("gid = 0").limit(least).count() < least
-    measured = _distance(sound, groups)
-    if few:
-        measured = measured.withColumn("d2", F.when(F.col("gid") == 0, F.lit(0.0)).otherwise(F.col("d2")))
+    measured = _distance(sound.where("judged"), groups)
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     good = measured.select(*columns, (F.col("d2") <= limit).alias("kept"), F.col("d2").alias("distance"))
     failed = rows.where("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
