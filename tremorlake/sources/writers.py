@@ -71,21 +71,27 @@ def write_csv(df: DataFrame, path: str) -> None:
     balanced(df).write.mode("overwrite").option("header", True).csv(path)
 
 
-class Staged:
-    """A DataFrame written once to the shared scratch folder and read back.
-
-    Later jobs start from those files: the lineage ends there, so a lost executor costs a re-read
-    and not a recomputation from the sources. ``drop()`` deletes the files when they are used up.
-    """
+class Scratch:
+    """A new path below the shared scratch folder."""
 
-    def __init__(self, df: DataFrame, label: str) -> None:
-        spark = df.sparkSession
+    def __init__(self, spark: SparkSession, label: str) -> None:
         self._spark = spark
         self.path = scratch_path(spark, label)
-        df.write.parquet(self.path)
-        self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         jvm_path = self._spark._jvm.org.apache.hadoop.fs.Path(self.path)
         conf = self._spark._jsc.hadoopConfiguration()
         jvm_path.getFileSystem(conf).delete(jvm_path, True)
+
+
+class Staged(Scratch):
+    """A DataFrame written once to the shared scratch folder and read back.
+
+    Later jobs start from those files: the lineage ends there, so a lost executor costs a re-read
+    and not a recomputation from the sources. ``drop()`` deletes the files when they are used up.
+    """
+
+    def __init__(self, df: DataFrame, label: str) -> None:
+        super().__init__(df.sparkSession, label)
+        df.write.parquet(self.path)
+        self.df = self._spark.read.schema(df.schema).parquet(self.path)
