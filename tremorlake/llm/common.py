@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tremorlake.sources.writers import Staged
+from tremorlake.sources.writers import Scratch, Staged
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
-_STAGED: list[Staged] = []
+_STAGED: list[Scratch] = []
 
 
 def text_of(name: str = "text") -> Column:
@@ -41,8 +41,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return kept.df
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path below the shared scratch folder, deleted by ``release``."""
+    kept = Scratch(spark, label)
+    _STAGED.append(kept)
+    return kept.path
+
+
 def release() -> None:
-    """Delete every staged table of this process. Results that still read one must be written first."""
+    """Delete every staged table and scratch path of this process. Results that still read one must be written first."""
     while _STAGED:
         with contextlib.suppress(Exception):  # the session may be gone
             _STAGED.pop().drop()

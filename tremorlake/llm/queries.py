@@ -18,11 +18,14 @@ from tremorlake.llm import (
     ngram_join,
     quality_classifier,
     quality_rules,
+    token_codes,
     url_filters,
 )
+from tremorlake.llm.common import scratch
 from tremorlake.llm.sql import LICENSES, LINKS, MIX, URLS
 
 RANKS = "byte_bpe_50k.tiktoken"
+WORD_PIECES, END_ID = "word_bpe_49k.json", 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +80,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-codes")
+    token_codes.write(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_PIECES), END_ID, path)
+    return token_codes.read(spark, path)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_html_extraction,
         op10_quality_rules,
+        op11_token_codes,
         pipeline,
     )
 }
