@@ -12,6 +12,7 @@ from tremorlake.llm import (
     bpe,
     fingerprints,
     html_text,
+    importance,
     licenses,
     line_dedup,
     mixing,
@@ -86,6 +87,10 @@ def op11_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.read(spark, path)
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_html_extraction,
         op10_quality_rules,
         op11_token_codes,
+        op12_importance_resampling,
         pipeline,
     )
 }
