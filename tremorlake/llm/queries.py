@@ -19,11 +19,12 @@ from tremorlake.llm import (
     ngram_join,
     quality_classifier,
     quality_rules,
+    ranked_search,
     token_codes,
     url_filters,
 )
 from tremorlake.llm.common import scratch
-from tremorlake.llm.sql import LICENSES, LINKS, MIX, URLS
+from tremorlake.llm.sql import LICENSES, LINKS, MIX, SEARCH, URLS
 
 RANKS = "byte_bpe_50k.tiktoken"
 WORD_PIECES, END_ID = "word_bpe_49k.json", 2
@@ -91,6 +92,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_quality_rules,
         op11_token_codes,
         op12_importance_resampling,
+        op13_ranked_search,
         pipeline,
     )
 }
@@ -122,4 +128,5 @@ SQL: dict[str, str] = {
     "op3_license_scans": LICENSES,
     "op4_mixing": MIX,
     "op7_ngram_jaccard_join": LINKS,
+    "op13_ranked_search": SEARCH,
 }

@@ -159,3 +159,27 @@ reach as (
 lowest as (select x, min(y) as low from reach group by x)
 select s.doc_id, len(s.s) as n_shingles, coalesce(l.low, s.doc_id) as component_id from sets s left join lowest l on s.doc_id = l.x
 """
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SEARCH = rf"""
+with words as (select doc_id, {_TERMS} as w from documents),
+lengths as (select doc_id, len(w)::bigint as n from words where len(w) > 0),
+whole as (select count(*)::bigint as docs, sum(n)::bigint as terms from lengths),
+asked as (select distinct item_id, unnest({_TERMS}) as term from benchmark),
+held as (
+  select doc_id, term, count(*)::bigint as tf from (select doc_id, unnest(w) as term from words)
+  where term in (select term from asked) group by doc_id, term
+),
+weights as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as weight
+  from (select term, count(*)::bigint as df from held group by term), whole
+),
+impacts as (
+  select h.doc_id, h.term, w.weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))) as impact
+  from held h join weights w on h.term = w.term join lengths l on h.doc_id = l.doc_id, whole
+),
+scored as (select item_id, doc_id, sum(impact)::bigint as score from asked a join impacts i on a.term = i.term group by item_id, doc_id),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
