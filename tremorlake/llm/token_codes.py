@@ -21,7 +21,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,12 @@ from tremorlake.llm.common import partitions, ship, text_of
 
 SEGMENT = 1 << 18  # ids after which a segment is closed
 _MAGIC, _BITS, _BLOCK = b"DAC1", 8, 512
-_REMEMBERED = 1_500_000  # ids that an encoder keeps for words it has seen
+_REMEMBERED = 6_000_000  # ids that an encoder keeps for words it has seen
 _JOINED = 50
-#: Latin words, with a stop or comma at most: one or two pieces for any tokenizer that splits letters from signs.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+[.,]?")
+#: Latin words: one piece for any tokenizer that splits letters from signs.
+_PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")
+#: A stop or comma between such a letter or digit and white space: a piece of its own for the same tokenizers.
+_STOP = re.compile(rb"[.,](?=[ \n]|\Z)(?:(?<=[A-Za-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
 
 
 # ---------------------------------------------------------------- codes
@@ -138,10 +142,10 @@ class Segment:
 
 
 class Encoder:
-    """Ids of a text by the tokenizers library, which sees each new word once.
+    """Ids of a text by the tokenizers library, which encodes each new word once.
 
-    ``separable`` says that no piece of the tokenizer spans white space, so a text's ids are those of its
-    words; whole texts are encoded otherwise.
+    ``separable`` says that the tokenizer drops white space and that no piece of it spans any, or a Latin letter
+    and a sign, so a text's ids are those of its words; whole texts are encoded otherwise.
     """
 
     def __init__(self, tokenizer: str, separable: bool) -> None:
@@ -149,49 +153,72 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.separable = Tokenizer.from_str(tokenizer), separable
+        special = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [t.content.lower().encode() for t in special]
+        probe = self.tokenizer.normalizer
+        self.lower = probe is not None and probe.normalize_str("ABCXYZ") == "abcxyz"
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self._forget()
 
+    def lowers(self, text: bytes) -> bool:
+        """Whether A-Z may be lowered beforehand: the tokenizer does so itself, and the text has neither special
+        tokens, which are told by case, nor accents that could join a letter (U+0300 to U+033F).
+        """
+        return self.lower and b"\xcc" not in text and not any(word in text.lower() for word in self.special)
+
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.start, self.flat = np.zeros(1, np.int64), np.empty(0, np.uint32)
+        self.known: defaultdict[bytes, int] = defaultdict()
+        self.known.default_factory = self.known.__len__  # a new word gets the next number
+        self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat = np.empty(0, np.uint32)
 
-    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encoded(self, texts: list[bytes]) -> list[np.ndarray]:
+        decoded = [t.decode("utf-8", "replace") for t in texts]
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(decoded, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [i for i, t in enumerate(texts) if _PLAIN.fullmatch(t)]
-        found: dict[int, np.ndarray] = {}
+        """Ids of new words, which follow those known. Words of one piece are encoded together and told apart by
+        the tokens that end a word.
+        """
+        plain = [i for i, w in enumerate(words) if w.isalpha() or _PLAIN.fullmatch(w)]
         groups = [plain[i : i + _JOINED] for i in range(0, len(plain), _JOINED)]
-        for group, ids in zip(groups, self._encoded([" ".join([texts[i] for i in g]) for g in groups])):
-            pieces = np.cumsum([2 if texts[i][-1] in ".," else 1 for i in group])
+        order, sizes, flat = [], [], []
+        for group, ids in zip(groups, self._encoded([b" ".join([words[i] for i in g]) for g in groups])):
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == pieces[-1]:  # else a tokenizer without word ends
-                found.update(zip(group, np.split(ids, ends[pieces[:-1] - 1])))
-        left = [i for i in range(len(texts)) if i not in found]
-        found.update(zip(left, self._encoded([texts[i] for i in left])))
-        fresh = [found[i] for i in range(len(texts))]
-        self.known.update(zip(words, range(len(self.start) - 1, len(self.start) - 1 + len(words))))
-        self.flat = np.concatenate([self.flat, *fresh])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in fresh], dtype=np.int64)])
+            if len(ends) == len(group):  # else a tokenizer without word ends
+                order += group
+                sizes.append(np.diff(ends, prepend=0))
+                flat.append(ids)
+        done = set(order)
+        left = [i for i in range(len(words)) if i not in done]
+        flat += self._encoded([words[i] for i in left])
+        sizes = np.concatenate([*sizes, np.array([len(x) for x in flat[len(flat) - len(left) :]], np.int64)]).astype(np.int64)
+        first = np.empty((2, len(words)), np.int64)
+        first[:, order + left] = len(self.flat) + np.cumsum(sizes) - sizes, sizes
+        self.first, self.size = np.concatenate([self.first, first[0]]), np.concatenate([self.size, first[1]])
+        self.flat = np.concatenate([self.flat, *flat])
+
+    def _words(self, text: bytes) -> list[bytes]:
+        """The text between ASCII white space, and stops and commas at the end of a word by themselves."""
+        return _STOP.sub(rb" \g<0>", text.lower() if self.lowers(text) else text).split()
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, given as UTF-8."""
         if not self.separable:
-            return self._encoded([t.decode("utf-8", "replace") for t in texts])
-        split = [t.split() for t in texts]  # at ASCII white space
+            return self._encoded(texts)
         if len(self.flat) > _REMEMBERED:
             self._forget()
-        new = set().union(*split).difference(self.known)
-        if new:
-            self._learn(list(new))
+        before, numbered = len(self.known), []
+        for text in texts:
+            words = self._words(text)
+            numbered.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+        if len(self.known) > before:
+            self._learn(list(islice(reversed(self.known), len(self.known) - before))[::-1])
         out = []
-        for words in split:
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            first, sizes = self.start[at], self.start[at + 1] - self.start[at]
+        for at in numbered:
+            first, sizes = self.first[at], self.size[at]
             ends = np.cumsum(sizes)
             places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
             out.append(self.flat[places])
