@@ -37,7 +37,7 @@ from tremorlake.llm.common import running_total, ship, staged, text_of
 
 TOP = 10
 LENGTH_SHARE = 90  # per cent of a document's length penalty that follows its length
-SHARD_DOCS, SHARD_TERMS = 1 << 13, 1 << 22  # documents and term occurrences after which a shard is closed
+SHARD_DOCS, SHARD_TERMS = 1 << 12, 1 << 20  # documents and term occurrences after which a shard is closed
 BLOCK_BYTES = 4 << 20  # query text that one block holds
 #: ASCII bytes: letters and digits stay, capitals are lowered, all others part terms.
 _LOWERED = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
