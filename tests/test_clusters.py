@@ -8,7 +8,10 @@ from tremorlake.functions import sphere as S
 from tremorlake.operators.clusters import (
     attach_assignment,
     distance_to_centre,
+    cluster_lookup,
+    hot_cubes,
     match_clusters,
+    nearest_clusters,
     usable_clusters,
 )
 from tremorlake.operators.features import sphere_features
@@ -67,11 +70,9 @@ SETS = {
 
 
 @pytest.mark.parametrize("name", list(SETS))
-@pytest.mark.parametrize("options", [{}, {"cube_limit": 2000}, {"per_pass": 25}])
+@pytest.mark.parametrize("options", [{}, {"cube_limit": 2000}, {"per_pass": 25}, {"per_pass": 1, "hot_events": 3}])
 def test_equals_the_plain_loop(spark, name, options):
     clusters, events = SETS[name], random_events(400, 9)
-    if "per_pass" in options:
-        options = {"per_pass": max(options["per_pass"], len(clusters) // 5)}
     df = match_clusters(spark.createDataFrame(events, EVENT), spark.createDataFrame(clusters, CLUSTER), **options)
     assert df.columns == ["id", "latitude", "longitude", "depth_km", "cluster_id"]
     got = {r["id"]: r["cluster_id"] for r in df.collect()}
@@ -145,3 +146,63 @@ def test_assignment_join_drops_unassigned_and_idless(spark):
     events = spark.createDataFrame([("a",), ("b",), (None,)], "id string")
     assignment = spark.createDataFrame([("a", 1), (None, 2)], "id string, cluster_id int")
     assert [tuple(r) for r in attach_assignment(events, assignment).collect()] == [("a", 1)]
+
+
+@pytest.mark.parametrize("times", [2, 100])
+def test_one_join_whatever_the_number_of_clusters(spark, times, plan_of):
+    clusters = spark.createDataFrame(random_clusters(5 * times, lambda r: r.uniform(100, 900), 4), CLUSTER)
+    df = match_clusters(spark.createDataFrame(random_events(100, 5), EVENT), clusters, per_pass=5)
+    plan = plan_of(df).split("== Physical Plan ==")[1]
+    assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") == 1
+    # Events are shuffled once: the aggregate stays where the join has put the rows.
+    after_join = plan[: plan.index("SortMergeJoin")]
+    assert "Exchange" not in after_join and "Aggregate" in after_join
+
+
+def test_hot_cubes_are_counted_and_dealt(spark):
+    events = spark.createDataFrame([("hot", 1.0, 1.0, None)] * 300 + random_events(60, 6), EVENT).repartition(4)
+    rows = random_clusters(50, lambda r: r.uniform(300, 2500), 7)
+    clusters = spark.createDataFrame(rows, CLUSTER)
+    placed = spark.createDataFrame([(1, 1, 1)] * 90 + [(2, 2, 2)] * 10 + [(None, None, None)] * 99, "_cube_x int, _cube_y int, _cube_z int")
+    assert hot_cubes(placed, 20) == [(1, 1, 1, 5)]
+    got = match_clusters(events, clusters, per_pass=1, hot_events=50)
+    assert got.count() == 365
+    assert {r[0] for r in got.where("id = 'hot'").select("cluster_id").distinct().collect()} == {first_match(("hot", 1.0, 1.0, None), rows)}
+
+
+def test_long_lists_and_repeated_ids_come_in_bounded_pieces(spark):
+    rows = [(i % 3 + 5, 1.0, 0.0, 0.0, 1.0 + i % 7) for i in range(1000)]
+    lookup = cluster_lookup(spark.createDataFrame(rows, CLUSTER), per_pass=2)
+    assert not lookup.broadcast
+    assert lookup.table.agg(F.max(F.size("_candidates"))).first()[0] <= 64
+    events = spark.createDataFrame([("a", 0.0, 0.0, None), ("b", 0.0, 0.04, None), ("c", 0.0, 9.0, None)], EVENT)
+    got = {r["id"]: r["cluster_id"] for r in match_clusters(events, lookup).collect()}
+    assert got == {e: first_match((e, 0.0, lon, None), rows) for e, lon in (("a", 0.0), ("b", 0.04), ("c", 9.0))}
+
+
+def nearest(event, clusters):
+    held = first_match(event, clusters)
+    _, lat, lon, depth = event
+    if held is not None or None in (lat, lon) or math.isnan(lat):
+        return held
+    shrink = (R - (depth or 0.0)) / R
+    point = [shrink * x for x in unit(lat, lon)]
+    return min((sum((x - y) ** 2 for x, y in zip(point, c[1:4])), c[0]) for c in clusters)[1]
+
+
+@pytest.mark.parametrize("rows", [SETS["small"], SETS["many"], random_clusters(3, lambda r: 50.0, 8), SETS["mixed"][:1]])
+@pytest.mark.parametrize("per_pass", [10_000, 2])
+def test_nearest_equals_all_pairs(spark, rows, per_pass):
+    events = random_events(150, 10)
+    df = nearest_clusters(spark.createDataFrame(events, EVENT), spark.createDataFrame(rows, CLUSTER), per_pass)
+    assert df.columns == ["id", "latitude", "longitude", "depth_km", "cluster_id", "is_nearest"]
+    got = {r["id"]: r["cluster_id"] for r in df.collect()}
+    assert got == {e[0]: nearest(e, rows) for e in events}
+
+
+def test_nearest_ties_and_no_clusters(spark):
+    events = spark.createDataFrame([("a", 0.0, 0.0, None)], EVENT)
+    rows = [(9, *unit(0, 10), 1.0), (4, *unit(0, -10), 1.0)]
+    assert nearest_clusters(events, spark.createDataFrame(rows, CLUSTER)).first()["cluster_id"] == 4
+    row = nearest_clusters(events, spark.createDataFrame([], CLUSTER)).first()
+    assert (row["cluster_id"], row["is_nearest"]) == (None, False)

@@ -3,7 +3,7 @@
 import __spark_entry__ as entry_module
 import oracle
 import pytest
-from conftest import SMALL
+from paths import SMALL
 
 from tremorlake.checks.catalog import CHECKS
 

@@ -3,7 +3,7 @@
 import uuid
 
 import pytest
-from conftest import SMALL
+from paths import SMALL
 from pyspark.sql import functions as F
 
 from tremorlake.checks import views as V

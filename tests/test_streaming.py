@@ -3,7 +3,7 @@ import json
 from collections import Counter
 
 import pytest
-from conftest import SMALL
+from paths import SMALL
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 

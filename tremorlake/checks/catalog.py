@@ -20,7 +20,12 @@ from tremorlake.checks.present import shown, shown_sql
 from tremorlake.functions.sphere import Vector, latitude_of, longitude_of
 from tremorlake.functions.times import event_day, event_timestamp
 from tremorlake.operators.clustering import sphere_dimension, zone_dimension
-from tremorlake.operators.clusters import attach_assignment, distance_to_centre, match_clusters
+from tremorlake.operators.clusters import (
+    attach_assignment,
+    distance_to_centre,
+    match_clusters,
+    nearest_clusters,
+)
 from tremorlake.operators.dedup import dedup_both, dedup_latest
 from tremorlake.operators.features import feature_moments, sphere_features
 from tremorlake.operators.normalize import TERRAQUAKE, USGS, normalize_feed, union_feeds
@@ -403,12 +408,45 @@ def cluster_first_match_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("cluster_first_match_passes", _MANY_SQL)
 def cluster_first_match_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same match with the dimension split over several broadcasts."""
+    """The same match with a dimension beyond the broadcast bound: one shuffle by cube."""
     clusters = V.many_clusters(spark, sf_dir)
     per_pass = max(1, clusters.count() // 3)
     return shown(match_clusters(V.quakes(spark, sf_dir), clusters, per_pass=per_pass), _MATCH_COLUMNS)
 
 
+@_register("cluster_first_match_hot", V.with_sql(*_MATCH) + shown_sql(_MATCH_COLUMNS, "matched"))
+def cluster_first_match_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shuffled match with so low a bound that most cubes are hot and dealt by salt."""
+    matched = match_clusters(V.quakes(spark, sf_dir), V.clusters(spark, sf_dir), per_pass=1, hot_events=2)
+    return shown(matched, _MATCH_COLUMNS)
+
+
+_NEAREST_COLUMNS = {"event_id": "int", "cluster_id": "int", "is_nearest": "bool"}
+_NEAREST_SQL = """ranked as (
+  select event_id, arg_min(cluster_id, struct_pack(d := power(px - center_x, 2) + power(py - center_y, 2)
+         + power(pz - center_z, 2), c := cluster_id)) as near_id
+  from points, clusters group by event_id),
+nearest as (
+  select matched.event_id, coalesce(cluster_id, near_id) as cluster_id, cluster_id is null as is_nearest
+  from matched join ranked using (event_id))"""
+
+
+@_register("cluster_nearest", V.with_sql(*_MATCH, _NEAREST_SQL) + shown_sql(_NEAREST_COLUMNS, "nearest"))
+def cluster_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in no sphere get the cluster with the nearest centre, by ring search."""
+    return shown(nearest_clusters(V.quakes(spark, sf_dir), V.clusters(spark, sf_dir)), _NEAREST_COLUMNS)
+
+
+_MANY_NEAREST_SQL = V.with_sql(V.QUAKES, V.SMALL_BOXES, V.MANY_CLUSTERS, V.MATCHED, _NEAREST_SQL)
+
+
+@_register("cluster_nearest_many", _MANY_NEAREST_SQL + shown_sql(_NEAREST_COLUMNS, "nearest"))
+def cluster_nearest_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ring search beyond the broadcast bound."""
+    found = nearest_clusters(V.quakes(spark, sf_dir), V.many_clusters(spark, sf_dir), per_pass=10)
+    return shown(found, _NEAREST_COLUMNS)
+
+
 _DISTANCE = """distances as (
   select event_id, s.cluster_id,
          case when c.cluster_id is null then 0 else

@@ -3,8 +3,8 @@
 A cluster is a sphere around its centre on the Earth scaled to radius 1. An event belongs to the
 cluster with the lowest id whose sphere holds it. Comparing every event with every cluster costs
 events x clusters; here space is cut into cubes, each cube lists the clusters whose sphere may reach
-into it, and an event looks only at the list of its own cube. The cube table is small and broadcast,
-so no event is shuffled.
+into it, and an event looks only at the list of its own cube. A table of bounded size is broadcast, so
+no event is shuffled. A larger dimension meets the events in one shuffle by cube, whatever its size.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tremorlake.functions.sphere import (
     EARTH_RADIUS_KM,
@@ -28,9 +29,21 @@ from tremorlake.operators.sizing import broadcast_when_small
 #: Cube rows (cluster x cube) that one broadcast may hold, about 64 bytes each.
 BROADCAST_CUBES = 500_000
 
-#: Clusters handled by one broadcast table; more clusters take several passes in id order.
+#: Clusters that one broadcast table may hold; more clusters meet the events in a shuffle.
 CLUSTERS_PER_PASS = 10_000
 
+#: Events of one cube that one task may take; a cube with more is dealt over several, by salt.
+HOT_EVENTS = 1_000_000
+
+#: So many of the fullest cubes can be hot at most; any other holds less than that share of the events.
+_HOT_CUBES = 2_000
+
+#: Candidates in one row of the shuffled table, so that no row grows with the dimension.
+_CHUNK = 64
+
+#: Tasks over which events without a place are spread.
+_NOWHERE = 4_096
+
 #: Cube edges as powers of two, fine to coarse. At the coarsest a cluster touches at most 8 cubes.
 _EDGES = tuple(2.0**-power for power in range(8, -3, -1))
 
@@ -47,6 +60,7 @@ _CUBE = ("_cube_x", "_cube_y", "_cube_z")
 _CENTRE = ("center_x", "center_y", "center_z")
 _CANDIDATES = "_candidates"
 _POINT = ("_point_x", "_point_y", "_point_z")
+_SALT, _ROW = "_salt", "_row"
 
 
 def usable_clusters(clusters: DataFrame) -> DataFrame:
@@ -104,17 +118,6 @@ def _edge(extent: _Extent, cube_limit: int) -> float:
     return max(fine) if fine else min(fitting)
 
 
-def _id_ranges(clusters: DataFrame, parts: int) -> list[Column]:
-    """Disjoint id ranges, ascending, with about equally many clusters."""
-    cuts = clusters.agg(
-        F.percentile_approx("cluster_id", [i / parts for i in range(1, parts)], 10 * parts)
-    ).first()[0]
-    edges = sorted(set(cuts))
-    ident = F.col("cluster_id")
-    inner = [(ident > low) & (ident <= high) for low, high in zip(edges, edges[1:])]
-    return [ident <= edges[0], *inner, ident > edges[-1]]
-
-
 def _holds_cube(edge: float) -> Column:
     """Whether a sphere holds every point of the cube, by the cube's farthest corner.
 
@@ -130,25 +133,46 @@ def _holds_cube(edge: float) -> Column:
     return inner & (farthest < squared_reach(F.col("max_r_km")) * (1.0 - 1e-9))
 
 
+def _covered(clusters: DataFrame, edge: float) -> DataFrame:
+    """A row for each cluster and cube that its sphere can reach."""
+    for name, centre in zip(_CUBE, _CENTRE):
+        low, high = _bounds(centre, edge)
+        clusters = clusters.withColumn(name, F.explode(F.sequence(low, high)))
+    return clusters
+
+
+def _candidate() -> Column:
+    return F.struct("cluster_id", *_CENTRE, squared_reach(F.col("max_r_km")).alias("reach"))
+
+
 def _cube_table(clusters: DataFrame, edge: float) -> DataFrame:
     """Per cube the clusters that may match there, by ascending id.
 
     The list ends with the first cluster that holds the whole cube: no later one can be the first
     match of an event in it.
     """
-    cubes = clusters
-    for name, centre in zip(_CUBE, _CENTRE):
-        low, high = _bounds(centre, edge)
-        cubes = cubes.withColumn(name, F.explode(F.sequence(low, high)))
-    candidate = F.struct("cluster_id", *_CENTRE, squared_reach(F.col("max_r_km")).alias("reach"))
-    lists = cubes.groupBy(*_CUBE).agg(
-        F.sort_array(F.collect_list(candidate)).alias("_all"),
+    lists = _covered(clusters, edge).groupBy(*_CUBE).agg(
+        F.sort_array(F.collect_list(_candidate())).alias("_all"),
         F.min(F.when(_holds_cube(edge), F.col("cluster_id"))).alias("_last"),
     )
     needed = F.filter("_all", lambda c: F.col("_last").isNull() | (c["cluster_id"] <= F.col("_last")))
     return lists.select(*_CUBE, needed.alias(_CANDIDATES))
 
 
+def _chunk_table(clusters: DataFrame, edge: float) -> DataFrame:
+    """The lists of ``_cube_table`` in pieces of at most ``_CHUNK`` candidates, a row for each piece.
+
+    Windows over a cube spill to disk, so a cube that a million clusters reach needs no more memory.
+    """
+    cube = Window.partitionBy(*_CUBE)
+    last = F.min(F.when(_holds_cube(edge), F.col("cluster_id"))).over(cube)
+    cubes = _covered(clusters, edge).withColumn("_last", last)
+    cubes = cubes.where("_last is null or cluster_id <= _last")
+    place = F.row_number().over(cube.orderBy("cluster_id", *_CENTRE, "max_r_km")) - 1
+    cubes = cubes.withColumn("_piece", F.floor(place / _CHUNK))
+    return cubes.groupBy(*_CUBE, "_piece").agg(F.sort_array(F.collect_list(_candidate())).alias(_CANDIDATES))
+
+
 def _first_match(point: Vector) -> Column:
     """Id of the first candidate that holds the point.
 
@@ -170,40 +194,143 @@ def _first_match(point: Vector) -> Column:
     return hit.when(beyond > 0, F.get(F.filter(tail, holds), F.lit(0))["cluster_id"])
 
 
+class ClusterLookup(NamedTuple):
+    """A measured dimension, ready to be matched with any number of event tables.
+
+    ``table`` holds candidates by cube: a whole list per cube if it is to be broadcast, else pieces of lists.
+    """
+
+    table: DataFrame
+    edge: float
+    broadcast: bool
+
+
+def cluster_lookup(
+    clusters: DataFrame, cube_limit: int = BROADCAST_CUBES, per_pass: int = CLUSTERS_PER_PASS
+) -> ClusterLookup:
+    """Measure the dimension (one pass over it) and lay it out by cubes."""
+    usable = usable_clusters(clusters)
+    extent = _extent(usable)
+    edge = _edge(extent, cube_limit)
+    if extent.clusters <= per_pass and extent.cubes(edge) <= max(cube_limit, 8 * per_pass):
+        return ClusterLookup(_cube_table(usable, edge), edge, True)
+    edge = _edge(extent, 2 * _CUBES_PER_CLUSTER * extent.clusters)
+    return ClusterLookup(_chunk_table(usable, edge), edge, False)
+
+
+def _with_point(events: DataFrame) -> tuple[DataFrame, Vector]:
+    where = hypocentre_vector(F.col("latitude"), F.col("longitude"), F.col("depth_km"))
+    return events.withColumns(dict(zip(_POINT, where))), Vector(*(F.col(name) for name in _POINT))
+
+
+def hot_cubes(placed: DataFrame, hot_events: int) -> list[tuple[int, int, int, int]]:
+    """(cube, salts) of the cubes with more than ``hot_events`` events, counted over all events.
+
+    The fullest ``_HOT_CUBES`` at most, so the answer is bounded; it takes one scan of three columns.
+    """
+    counts = placed.groupBy(*_CUBE).agg(F.count("*").alias("n")).where(F.col("n") > hot_events)
+    fullest = counts.orderBy(F.desc("n"), *_CUBE).limit(_HOT_CUBES).collect()
+    return [(*row[:3], -(-row["n"] // hot_events)) for row in fullest if row[0] is not None]
+
+
+def _match_shuffled(events: DataFrame, lookup: ClusterLookup, hot_events: int) -> DataFrame:
+    """One shuffle by (cube, salt): an event meets the pieces of its cube's list and keeps the lowest hit.
+
+    Only hot cubes have salts. Pieces of a list are brought together by the event's row number inside
+    the partition that the join has made, so events are not shuffled again.
+    """
+    if events.isStreaming:
+        raise ValueError("a dimension too large for a broadcast is matched batch by batch, see start_ingest")
+    spark = events.sparkSession
+    names = [F.col(name) for name in events.columns]
+    result, point = _with_point(events)
+    result = result.withColumns({name: _cube(axis, lookup.edge) for name, axis in zip(_CUBE, point)})
+    hot = hot_cubes(result, hot_events)
+    hot = F.broadcast(spark.createDataFrame(hot, ", ".join(f"{name} int" for name in (*_CUBE, "_salts"))))
+    result = result.withColumn(_ROW, F.monotonically_increasing_id()).join(hot, list(_CUBE), "left")
+    salts = F.when(F.col(_CUBE[0]).isNull(), F.lit(_NOWHERE)).otherwise(F.coalesce("_salts", F.lit(1)))
+    result = result.withColumn(_SALT, F.pmod(F.col(_ROW), salts).cast("int"))
+    pieces = lookup.table.join(hot, list(_CUBE), "left")
+    pieces = pieces.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+    keys = [*_CUBE, _SALT]
+    rows = result.select(*keys, _ROW, F.struct(*names).alias("_event"), *_POINT)
+    met = rows.join(pieces.select(*keys, _CANDIDATES), keys, "left")
+    met = met.withColumn("_hit", _first_match(point))
+    first = met.groupBy(*keys, _ROW).agg(F.first("_event").alias("_event"), F.min("_hit").alias("_hit"))
+    return first.select("_event.*", F.col("_hit").alias("cluster_id"))
+
+
 def match_clusters(
     events: DataFrame,
-    clusters: DataFrame,
+    clusters: DataFrame | ClusterLookup,
     cube_limit: int = BROADCAST_CUBES,
     per_pass: int = CLUSTERS_PER_PASS,
+    hot_events: int = HOT_EVENTS,
 ) -> DataFrame:
     """Events with ``cluster_id``: the lowest id whose sphere holds the event, NULL if none does.
 
-    Measures the dimension first, so pass a stored or derived-from-small one. One broadcast table normally holds it; a dimension with more than
-    ``per_pass`` clusters is split by id into several tables, tried in ascending order, so every
-    broadcast stays within its bound and the lowest id still wins.
+    Measures the dimension first, so pass a stored or derived-from-small one, or a lookup made before.
+    Up to ``per_pass`` clusters are broadcast; more are joined in one shuffle of the events.
     """
-    usable = usable_clusters(clusters)
-    extent = _extent(usable)
-    passes = [(usable, _edge(extent, cube_limit))]
-    if extent.clusters > per_pass:
-        ranges = _id_ranges(usable, math.ceil(extent.clusters / per_pass))
-        parts = [usable.filter(id_range) for id_range in ranges]
-        passes = [(part, _edge(_extent(part), cube_limit)) for part in parts]
-    where = hypocentre_vector(F.col("latitude"), F.col("longitude"), F.col("depth_km"))
-    result = events.withColumns(dict(zip(_POINT, where)))
-    point = Vector(*(F.col(name) for name in _POINT))
-    found: list[str] = []
-    for number, (part, edge) in enumerate(passes):
-        keys = {name: _cube(axis, edge) for name, axis in zip(_CUBE, point)}
-        match = f"_match_{number}"
-        result = (
-            result.withColumns(keys)
-            .join(F.broadcast(_cube_table(part, edge)), list(_CUBE), "left")
-            .withColumn(match, _first_match(point))
-            .drop(*_CUBE, _CANDIDATES)
-        )
-        found.append(match)
-    return result.withColumn("cluster_id", F.coalesce(*found)).drop(*_POINT, *found)
+    lookup = clusters if isinstance(clusters, ClusterLookup) else cluster_lookup(clusters, cube_limit, per_pass)
+    events = events.drop("cluster_id")
+    if not lookup.broadcast:
+        return _match_shuffled(events, lookup, hot_events)
+    result, point = _with_point(events)
+    keys = {name: _cube(axis, lookup.edge) for name, axis in zip(_CUBE, point)}
+    result = result.withColumns(keys).join(F.broadcast(lookup.table), list(_CUBE), "left")
+    return result.withColumn("cluster_id", _first_match(point)).drop(*_CUBE, _CANDIDATES, *_POINT)
+
+
+def _neighbourhoods(centres: DataFrame, edge: float) -> DataFrame:
+    """Per cube the centres in it and in the 26 cubes around it."""
+    around = centres
+    for name, centre in zip(_CUBE, _CENTRE):
+        own = _cube(F.col(centre), edge)
+        around = around.withColumn(name, F.explode(F.sequence(own - 1, own + 1)))
+    lists = F.collect_list(F.struct("cluster_id", *_CENTRE))
+    return around.groupBy(*_CUBE).agg(lists.alias(_CANDIDATES))
+
+
+def nearest_clusters(events: DataFrame, clusters: DataFrame, per_pass: int = CLUSTERS_PER_PASS) -> DataFrame:
+    """``match_clusters``, and for events in no sphere the cluster with the nearest centre (ties: lowest id).
+
+    ``cluster_id`` comes with ``is_nearest``. A ring search: an event looks at the 27 cubes around it, and the
+    nearest centre found there is the nearest of all if it is no farther than a cube's edge, the least
+    distance to anything outside. Where it is not, the edge doubles; at the last the 27 cubes hold everything.
+    The number of rings depends on the Earth's size alone. Each is one lookup in a table with a list for every
+    cube, made of 27 entries a cluster; it is broadcast up to ``per_pass`` clusters and shuffled beyond. Events
+    that are settled ask for no cube. Events without coordinates keep NULL.
+    """
+    matched = match_clusters(events, clusters, per_pass=per_pass).withColumnRenamed("cluster_id", "_held")
+    centres = usable_clusters(clusters)
+    n = centres.count()
+    result, point = _with_point(matched)
+    result = result.withColumn(_ROW, F.monotonically_increasing_id()).withColumn("_near", F.lit(None).cast("int"))
+    # At the first edge a neighbourhood of the surface holds a few centres.
+    edges = [edge for edge in sorted(_EDGES) if 4 * math.pi / edge**2 <= max(n, 1)] or [max(_EDGES)]
+    for edge in edges:
+        last = edge == edges[-1]
+        placed = F.coalesce(~F.isnan(point[0] + point[1] + point[2]), F.lit(False)) & point[0].isNotNull()
+        asks = F.col("_held").isNull() & F.col("_near").isNull() & placed
+        # Rows that ask for nothing are spread over cubes that do not exist.
+        nowhere = -(F.lit(1 << 20) + F.pmod(F.col(_ROW), F.lit(_NOWHERE))).cast("int")
+        keys = {name: F.when(asks, _cube(axis, edge)).otherwise(nowhere) for name, axis in zip(_CUBE, point)}
+        table = _neighbourhoods(centres, edge)
+        result = result.withColumns(keys).join(F.broadcast(table) if n <= per_pass else table, list(_CUBE), "left")
+
+        def distance(c: Column) -> Column:
+            centre = Vector(*(c[name] for name in _CENTRE))
+            return F.struct(squared_distance(point, centre).alias("d"), c["cluster_id"].alias("cluster_id"))
+
+        best = F.array_min(F.transform(_CANDIDATES, distance))
+        inside = F.greatest(*(F.abs(axis) for axis in point)) < _LIMIT
+        sure = F.lit(True) if last else inside & (best["d"] <= (edge * (1.0 - 1e-9)) ** 2)
+        result = result.withColumn("_near", F.coalesce("_near", F.when(sure, best["cluster_id"])))
+        result = result.drop(*_CUBE, _CANDIDATES)
+    result = result.withColumn("cluster_id", F.coalesce("_held", "_near"))
+    result = result.withColumn("is_nearest", F.col("_held").isNull() & F.col("_near").isNotNull())
+    return result.drop(*_POINT, _ROW, "_held", "_near")
 
 
 def distance_to_centre(
