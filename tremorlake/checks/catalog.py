@@ -50,6 +50,7 @@ from tremorlake.sources.readers import (
     scan_table,
 )
 from tremorlake.sources.writers import write_csv, write_parquet, write_table
+from tremorlake.sources.versions import Snapshots
 from tremorlake.streaming.ingest import (
     ParquetServing,
     enrich,
@@ -740,6 +741,33 @@ def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(_with_millis(served), ENRICHED)
 
 
+@_register("stream_compacted", V.with_sql(*_MATCH, _SERVED, _KEYED) + shown_sql(ENRICHED, "keyed"))
+def stream_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published dimensions, two compactions, and a batch of a compacted range that is delivered once more.
+
+    The repeated batch has other values, which must not come back.
+    """
+    root = scratch_path(spark, "stream")
+    write_messages(spark, sf_dir, f"{root}/messages", files=6)
+    serving_table = ParquetServing(f"{root}/serving")
+    sides = [Snapshots(f"{root}/regions"), Snapshots(f"{root}/clusters")]
+    for side, rows in zip(sides, (V.regions(spark, sf_dir), V.clusters(spark, sf_dir))):
+        side.publish(rows)
+    query = start_ingest(
+        stream_source(spark, "text", {"path": f"{root}/messages", "maxFilesPerTrigger": "1"}),
+        *sides,
+        serving_table,
+        f"{root}/checkpoint",
+        {"availableNow": True},
+    )
+    query.awaitTermination()
+    serving_table.compact(spark, through=1)
+    serving_table.compact(spark)
+    again = serving_table.read(spark).where("batch_id = 1").withColumn("magnitude", F.lit(99.0).cast("float"))
+    serving_table.write_batch(again.drop("batch_id"), 1)
+    return shown(_with_millis(latest_per_key(serving_table.read(spark))), ENRICHED)
+
+
 # --- serving -----------------------------------------------------------------------------------
 
 _DAYS = (dt.date(2024, 1, 5), dt.date(2024, 1, 20))
