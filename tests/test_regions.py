@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tremorlake.operators.regions import BoxPlan, locate, plan_box_join
+from tremorlake.operators.regions import BoxPlan, _boxes_in_leaves, dense_cells, locate, plan_box_join
 from tremorlake.schemas import REGION_SCHEMA
 
 PLANS = [
@@ -131,3 +131,51 @@ def test_a_hot_cell_is_spread_over_several_reducers(spark):
 def test_unknown_join_type(spark):
     with pytest.raises(ValueError):
         locate(points(spark, EDGE_ROWS), boxes(spark), "cross")
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("plan", PLANS)
+def test_first_box_equals_brute_force(spark, plan, how):
+    rnd = random.Random(6)
+    rows = EDGE_ROWS + [(f"r{i}", rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for i in range(100)]
+    rows += [("hot", 10.0, 7.0)] * 200
+    df = locate(points(spark, rows), boxes(spark), how, plan, resolve="first")
+    assert df.columns == ["id", "latitude", "longitude", *REGION_SCHEMA.names]
+    expected = []
+    for row in rows:
+        expected += brute_force([row], how)[:1]
+    assert hits(df) == sorted(expected)
+
+
+def test_first_box_among_many_in_one_cell(spark):
+    rows = [(i, "r", "s", 0.0, 1.0 + i % 3, 0.0, 1.0) for i in range(300, 0, -1)]
+    got = locate(points(spark, [("a", 2.5, 0.5), ("b", 0.5, 0.5)]), boxes(spark, rows), "left", BoxPlan("shuffle_cells", 30.0), "first")
+    assert hits(got) == [("a", 2), ("b", 1)]
+
+
+def test_only_dense_cells_are_split_and_salted(spark):
+    """A third of the events on one point, a third in one city, the rest everywhere."""
+    rnd = random.Random(1)
+    rows = [("hot", 7.0, 7.0)] * 1000 + [("city", 41 + rnd.random(), 29 + rnd.random()) for _ in range(1000)]
+    rows += [("far", rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for _ in range(1000)]
+    events = points(spark, rows)
+    tree = dense_cells(events, 10.0)
+    assert set(tree.split[0]) >= {(0, 0), (4, 2)} and len(tree.split[0]) < 40
+    salts = {cell[:2]: cell[2] for cell in tree.salts}
+    assert salts.pop((44, 44)) == 32  # edge 10 / 64: the point
+    assert all(41 <= lat * 10 / 64 + 1 and n <= 8 for (lat, _), n in salts.items())  # blocks of the city
+    small = [(i, "r", "s", float(lat), lat + 2.0, float(lon), lon + 2.0) for i, (lat, lon) in enumerate((a, b) for a in range(-88, 88, 8) for b in range(-178, 178, 8))]
+    small += [(9999, "r", "around the hot point", 6.5, 7.5, 6.5, 7.5)]
+    assert _boxes_in_leaves(boxes(spark, small), tree).count() < 20 * len(small)
+    joined = locate(events.repartition(8), boxes(spark, small), "left", BoxPlan("shuffle_cells", 10.0))
+    got = joined.where("region_id is not null").groupBy("id").count()
+    expected = {}
+    for name, lat, lon in rows:
+        n = sum(b[3] <= lat <= b[4] and b[5] <= lon <= b[6] for b in small)
+        expected[name] = expected.get(name, 0) + n
+    assert {r["id"]: r["count"] for r in got.collect()} == {k: v for k, v in expected.items() if v}
+
+
+def test_unknown_resolution(spark):
+    with pytest.raises(ValueError):
+        locate(points(spark, EDGE_ROWS), boxes(spark), resolve="last")

@@ -324,6 +324,31 @@ def region_enrich_grid_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _located(spark, sf_dir, "left", BoxPlan("shuffle_cells", 5.0, salts=8))
 
 
+_FIRST_SQL = V.with_sql(
+    V.QUAKES,
+    V.REGIONS,
+    f"""firsts as (select event_id, min(region_id) as region_id from quakes join regions on {INSIDE} group by event_id),
+located as (select quakes.*, regions.* from quakes left join firsts using (event_id)
+            left join regions on regions.region_id = firsts.region_id)""",
+) + shown_sql(LOCATED, "located")
+
+
+def _first_located(spark: SparkSession, sf_dir: str, plan: BoxPlan | None) -> DataFrame:
+    found = locate(V.quakes(spark, sf_dir), V.regions(spark, sf_dir), "left", plan, resolve="first")
+    return shown(found, LOCATED)
+
+
+@_register("region_enrich_first", _FIRST_SQL)
+def region_enrich_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event once: on an edge that boxes share, the box with the lowest id."""
+    return _first_located(spark, sf_dir, None)
+
+
+@_register("region_enrich_first_shuffled", _FIRST_SQL)
+def region_enrich_first_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first_located(spark, sf_dir, BoxPlan("shuffle_cells", 5.0))
+
+
 # --- geometry and clusters ---------------------------------------------------------------------
 
 _ALL_POINTS = V.SPHERE.replace("from matched", "from quakes")

@@ -24,6 +24,7 @@ from tremorlake.functions.sphere import (
     squared_distance,
     squared_reach,
 )
+from tremorlake.operators.lists import PIECE, first_hit, first_per_row, salt_of
 from tremorlake.operators.sizing import broadcast_when_small
 
 #: Cube rows (cluster x cube) that one broadcast may hold, about 64 bytes each.
@@ -38,9 +39,6 @@ HOT_EVENTS = 1_000_000
 #: So many of the fullest cubes can be hot at most; any other holds less than that share of the events.
 _HOT_CUBES = 2_000
 
-#: Candidates in one row of the shuffled table, so that no row grows with the dimension.
-_CHUNK = 64
-
 #: Tasks over which events without a place are spread.
 _NOWHERE = 4_096
 
@@ -53,9 +51,6 @@ _LIMIT = 2.0
 #: Cubes per cluster, on average, at which a cube lists hardly any cluster that misses the event.
 _CUBES_PER_CLUSTER = 343
 
-#: Candidates tested in generated code before the rest of a list.
-_HEAD = 8
-
 _CUBE = ("_cube_x", "_cube_y", "_cube_z")
 _CENTRE = ("center_x", "center_y", "center_z")
 _CANDIDATES = "_candidates"
@@ -160,7 +155,7 @@ def _cube_table(clusters: DataFrame, edge: float) -> DataFrame:
 
 
 def _chunk_table(clusters: DataFrame, edge: float) -> DataFrame:
-    """The lists of ``_cube_table`` in pieces of at most ``_CHUNK`` candidates, a row for each piece.
+    """The lists of ``_cube_table`` in pieces of at most ``PIECE`` candidates, a row for each piece.
 
     Windows over a cube spill to disk, so a cube that a million clusters reach needs no more memory.
     """
@@ -169,29 +164,18 @@ def _chunk_table(clusters: DataFrame, edge: float) -> DataFrame:
     cubes = _covered(clusters, edge).withColumn("_last", last)
     cubes = cubes.where("_last is null or cluster_id <= _last")
     place = F.row_number().over(cube.orderBy("cluster_id", *_CENTRE, "max_r_km")) - 1
-    cubes = cubes.withColumn("_piece", F.floor(place / _CHUNK))
+    cubes = cubes.withColumn("_piece", F.floor(place / PIECE))
     return cubes.groupBy(*_CUBE, "_piece").agg(F.sort_array(F.collect_list(_candidate())).alias(_CANDIDATES))
 
 
 def _first_match(point: Vector) -> Column:
-    """Id of the first candidate that holds the point.
-
-    The head of the list is tested in generated code, which stops at the first hit. A higher-order
-    filter, about three times slower, sees only the rest of a longer list without a hit so far.
-    """
+    """Id of the first candidate that holds the point."""
 
     def holds(candidate: Column) -> Column:
         centre = Vector(*(candidate[name] for name in _CENTRE))
         return squared_distance(point, centre) < candidate["reach"]
 
-    candidates = F.col(_CANDIDATES)
-    beyond = F.size(candidates) - _HEAD
-    tail = F.slice(candidates, _HEAD + 1, F.greatest(beyond, F.lit(0)))
-    first, *others = (F.get(candidates, F.lit(i)) for i in range(_HEAD))
-    hit = F.when(holds(first), first["cluster_id"])
-    for candidate in others:
-        hit = hit.when(holds(candidate), candidate["cluster_id"])
-    return hit.when(beyond > 0, F.get(F.filter(tail, holds), F.lit(0))["cluster_id"])
+    return first_hit(F.col(_CANDIDATES), holds, lambda candidate: candidate["cluster_id"])
 
 
 class ClusterLookup(NamedTuple):
@@ -242,22 +226,18 @@ def _match_shuffled(events: DataFrame, lookup: ClusterLookup, hot_events: int) -
     if events.isStreaming:
         raise ValueError("a dimension too large for a broadcast is matched batch by batch, see start_ingest")
     spark = events.sparkSession
-    names = [F.col(name) for name in events.columns]
     result, point = _with_point(events)
     result = result.withColumns({name: _cube(axis, lookup.edge) for name, axis in zip(_CUBE, point)})
     hot = hot_cubes(result, hot_events)
     hot = F.broadcast(spark.createDataFrame(hot, ", ".join(f"{name} int" for name in (*_CUBE, "_salts"))))
     result = result.withColumn(_ROW, F.monotonically_increasing_id()).join(hot, list(_CUBE), "left")
     salts = F.when(F.col(_CUBE[0]).isNull(), F.lit(_NOWHERE)).otherwise(F.coalesce("_salts", F.lit(1)))
-    result = result.withColumn(_SALT, F.pmod(F.col(_ROW), salts).cast("int"))
+    result = result.withColumn(_SALT, salt_of(salts, *point)).drop("_salts")
     pieces = lookup.table.join(hot, list(_CUBE), "left")
     pieces = pieces.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-    keys = [*_CUBE, _SALT]
-    rows = result.select(*keys, _ROW, F.struct(*names).alias("_event"), *_POINT)
-    met = rows.join(pieces.select(*keys, _CANDIDATES), keys, "left")
-    met = met.withColumn("_hit", _first_match(point))
-    first = met.groupBy(*keys, _ROW).agg(F.first("_event").alias("_event"), F.min("_hit").alias("_hit"))
-    return first.select("_event.*", F.col("_hit").alias("cluster_id"))
+    pieces = pieces.select(*_CUBE, _SALT, _CANDIDATES)
+    found = first_per_row(result, pieces, (*_CUBE, _SALT), _ROW, events.columns, _first_match(point))
+    return found.withColumnRenamed("_hit", "cluster_id")
 
 
 def match_clusters(
@@ -306,7 +286,7 @@ def nearest_clusters(events: DataFrame, clusters: DataFrame, per_pass: int = CLU
     centres = usable_clusters(clusters)
     n = centres.count()
     result, point = _with_point(matched)
-    result = result.withColumn(_ROW, F.monotonically_increasing_id()).withColumn("_near", F.lit(None).cast("int"))
+    result = result.withColumn("_near", F.lit(None).cast("int"))
     # At the first edge a neighbourhood of the surface holds a few centres.
     edges = [edge for edge in sorted(_EDGES) if 4 * math.pi / edge**2 <= max(n, 1)] or [max(_EDGES)]
     for edge in edges:
@@ -314,7 +294,7 @@ def nearest_clusters(events: DataFrame, clusters: DataFrame, per_pass: int = CLU
         placed = F.coalesce(~F.isnan(point[0] + point[1] + point[2]), F.lit(False)) & point[0].isNotNull()
         asks = F.col("_held").isNull() & F.col("_near").isNull() & placed
         # Rows that ask for nothing are spread over cubes that do not exist.
-        nowhere = -(F.lit(1 << 20) + F.pmod(F.col(_ROW), F.lit(_NOWHERE))).cast("int")
+        nowhere = -(F.lit(1 << 20) + salt_of(F.lit(_NOWHERE), *point))
         keys = {name: F.when(asks, _cube(axis, edge)).otherwise(nowhere) for name, axis in zip(_CUBE, point)}
         table = _neighbourhoods(centres, edge)
         result = result.withColumns(keys).join(F.broadcast(table) if n <= per_pass else table, list(_CUBE), "left")
@@ -330,7 +310,7 @@ def nearest_clusters(events: DataFrame, clusters: DataFrame, per_pass: int = CLU
         result = result.drop(*_CUBE, _CANDIDATES)
     result = result.withColumn("cluster_id", F.coalesce("_held", "_near"))
     result = result.withColumn("is_nearest", F.col("_held").isNull() & F.col("_near").isNotNull())
-    return result.drop(*_POINT, _ROW, "_held", "_near")
+    return result.drop(*_POINT, "_held", "_near")
 
 
 def distance_to_centre(
