@@ -42,7 +42,9 @@ BLOCK_BYTES = 4 << 20  # query text that one block holds
 #: ASCII bytes: letters and digits stay, capitals are lowered, all others part terms.
 _LOWERED = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 _POSTINGS = "shard bigint, term string, docs array<int>, counts array<int>, ids array<bigint>"
-_IMPACTS = "shard bigint, ids array<bigint>, lists array<struct<a:int,b:int,docs:array<int>,impacts:array<bigint>>>, tops array<struct<a:int,b:int,impacts:array<bigint>>>"
+#: The lists of a shard, one after the other, as packed little-endian numbers: a shard is one small row to Spark.
+_LISTS = {"a": "<i4", "b": "<i4", "sizes": "<i4", "docs": "<i4", "impacts": "<i8"}
+_IMPACTS = f"shard bigint, ids array<bigint>, {', '.join(f'{c} binary' for c in _LISTS)}, tops array<struct<a:int,b:int,impacts:array<bigint>>>"
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -171,7 +173,6 @@ def _shard_impacts(table: pa.Table, block: Block, codes: dict[str, int]) -> tupl
 def impacts(postings: DataFrame, block: Block, codes: dict[str, int]) -> DataFrame:
     """A row for each shard: doc_ids, lists of single terms (b = -1) and pairs, and each pair's largest impacts."""
     shared = postings.sparkSession.sparkContext.broadcast((block, codes))
-    kind = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("docs", pa.list_(pa.int32())), ("impacts", pa.list_(pa.int64()))])
     top_kind = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("impacts", pa.list_(pa.int64()))])
 
     def lists(parts: list[np.ndarray], value: pa.DataType) -> pa.ListArray:
@@ -184,16 +185,17 @@ def impacts(postings: DataFrame, block: Block, codes: dict[str, int]) -> DataFra
         ids, single, joint = _shard_impacts(table, asked, known)
         items = [(a, -1, *v) for a, v in single.items()] + [(*k, *v) for k, v in joint.items()]
         tops = [(*k, -np.sort(-v[1])[:TOP]) for k, v in joint.items() if len(v[1])]
-        a_b = [pa.array([i[n] for i in items], pa.int32()) for n in (0, 1)]
-        found = pa.StructArray.from_arrays([*a_b, lists([i[2] for i in items], pa.int32()), lists([i[3] for i in items], pa.int64())], fields=list(kind))
+        parts = {"a": [[i[0] for i in items]], "b": [[i[1] for i in items]], "sizes": [[len(i[2]) for i in items]]}
+        parts |= {"docs": [i[2] for i in items], "impacts": [i[3] for i in items]}
+        packed = [np.concatenate([np.empty(0, kind), *(np.asarray(p, kind) for p in parts[c])]).tobytes() for c, kind in _LISTS.items()]
         best = pa.StructArray.from_arrays([*(pa.array([t[n] for t in tops], pa.int32()) for n in (0, 1)), lists([t[2] for t in tops], pa.int64())], fields=list(top_kind))
         columns = [
             pa.array([key[0].as_py()], pa.int64()),
             pa.array([ids], pa.list_(pa.int64())),
-            pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found),
+            *(pa.array([p], pa.binary()) for p in packed),
             pa.ListArray.from_arrays(pa.array([0, len(best)], pa.int32()), best),
         ]
-        return pa.Table.from_arrays(columns, ["shard", "ids", "lists", "tops"])
+        return pa.Table.from_arrays(columns, ["shard", "ids", *_LISTS, "tops"])
 
     # A shard's rows are bounded by its documents and the block's terms.
     return staged(postings.groupBy("shard").applyInArrow(run, _IMPACTS), "impacts")
@@ -271,12 +273,11 @@ def _search_shards(found: DataFrame, block: Block, top: int) -> DataFrame:
         reach = list(asked.floors)  # thresholds rise from shard to shard of a task
         for batch in batches:
             for row in range(len(batch)):
-                ids, lists = batch.column(1)[row].as_py(), batch.column(2)[row].values
-                single, joint = {}, {}
-                a_s, b_s = lists.field("a").to_pylist(), lists.field("b").to_pylist()
-                docs, both = lists.field("docs"), lists.field("impacts")
-                for at, (a, b) in enumerate(zip(a_s, b_s)):
-                    pair = docs[at].values.to_numpy(), both[at].values.to_numpy()
+                ids, single, joint = batch.column(1)[row].as_py(), {}, {}
+                a_s, b_s, sizes, docs, both = (np.frombuffer(batch.column(c)[row].as_buffer(), kind) for c, kind in _LISTS.items())
+                ends = np.cumsum(sizes)
+                for a, b, start, end in zip(a_s.tolist(), b_s.tolist(), (ends - sizes).tolist(), ends.tolist()):
+                    pair = docs[start:end], both[start:end]
                     if b < 0:
                         single[a] = pair
                     else:
@@ -292,7 +293,7 @@ def _search_shards(found: DataFrame, block: Block, top: int) -> DataFrame:
                 columns.insert(3, [batch.column(0)[row].as_py()] * len(out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in schema.split(", ")])
 
-    return found.select("shard", "ids", "lists").mapInArrow(run, schema)
+    return found.select("shard", "ids", *_LISTS).mapInArrow(run, schema)
 
 
 def _blocks(items: DataFrame) -> tuple[DataFrame, int]:
