@@ -38,6 +38,7 @@ from tremorlake.plans.cluster_facts import (
     sphere_daily_fact,
     zone_daily_fact,
 )
+from tremorlake.plans.incremental import incremental_region_fact
 from tremorlake.plans.region_fact import region_daily_fact
 from tremorlake.schemas import REGION_SCHEMA, SPHERE_DIMENSION_SCHEMA
 from tremorlake.session import scratch_path
@@ -49,8 +50,8 @@ from tremorlake.sources.readers import (
     scan_feed,
     scan_table,
 )
-from tremorlake.sources.writers import write_csv, write_parquet, write_table
 from tremorlake.sources.versions import Snapshots
+from tremorlake.sources.writers import write_bucketed, write_clustered, write_csv, write_parquet, write_table
 from tremorlake.streaming.ingest import (
     ParquetServing,
     enrich,
@@ -298,6 +299,24 @@ def region_daily_stats_many_boxes(spark: SparkSession, sf_dir: str) -> DataFrame
     return shown(fact, REGION_FACT)
 
 
+@_register(
+    "region_daily_stats_incremental",
+    V.with_sql(V.QUAKES, V.REGIONS, _LOCATED, _REGION_SQL) + shown_sql(REGION_FACT, "fact"),
+)
+def region_daily_stats_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact kept up to date over three deliveries: most events, late ones for all days, a replaced day."""
+    root, quakes = scratch_path(spark, "incremental"), V.quakes(spark, sf_dir)
+    fact = incremental_region_fact(f"{root}/clean", V.regions(spark, sf_dir), f"{root}/state", f"{root}/fact")
+    late = F.col("event_id") % 5 == 0
+    for delivery in (quakes.where(~late), quakes.where(late)):
+        delivery.write.mode("append").partitionBy("dt").parquet(f"{root}/clean")
+        fact.update(spark)
+    day = quakes.agg(F.min("dt")).first()[0]
+    write_parquet(quakes.where(F.col("dt") == F.lit(day)), f"{root}/clean", ["dt"], overwrite="partitions")
+    fact.update(spark)
+    return shown(spark.read.parquet(f"{root}/fact"), REGION_FACT)
+
+
 _LEFT_SQL = V.with_sql(
     V.QUAKES, V.REGIONS, f"located as (select * from quakes left join regions on {INSIDE})"
 ) + shown_sql(LOCATED, "located")
@@ -580,6 +599,19 @@ def cluster_daily_stats_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_register(
+    "cluster_daily_stats_bucketed",
+    V.with_sql(*_MATCH, _MEMBERS, _SPHERE_FACT_SQL) + shown_sql(SPHERE_FACT, "fact"),
+)
+def cluster_daily_stats_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and assignment as tables bucketed by id: their join needs no shuffle."""
+    names = [f"bucketed_{side}_{uuid.uuid4().hex}" for side in ("events", "assignment")]
+    write_bucketed(V.quakes(spark, sf_dir), names[0], "id", 8)
+    write_bucketed(_assigned(spark, sf_dir).select("id", "cluster_id"), names[1], "id", 8)
+    joined = attach_assignment(spark.table(names[0]), spark.table(names[1]))
+    return shown(sphere_daily_fact(joined), SPHERE_FACT)
+
+
 @_register(
     "cluster_daily_stats_short",
     V.with_sql(*_MATCH, _MEMBERS, _fact_sql("members", "cluster_id", {"max_mag_event_id": "id"}))
@@ -842,6 +874,59 @@ def serving_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(serving.bounds(_served(spark, sf_dir)), _BOUNDS)
 
 
+def _day_folders(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, "days")
+    events = V.quakes(spark, sf_dir).select(F.col("dt").alias("day"), "id", "magnitude")
+    write_parquet(events, path, ["day"])
+    return path
+
+
+@_register(
+    "serving_bounds_footers",
+    V.with_sql(
+        V.QUAKES,
+        """ends as (
+  select min(dt) as min_day, max(dt) as max_day, min(magnitude) as min_magnitude,
+         max(magnitude) as max_magnitude from quakes)""",
+    )
+    + shown_sql(_BOUNDS, "ends"),
+)
+def serving_bounds_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ends from the footers of the files alone."""
+    return shown(serving.bounds_of_files(spark, _day_folders(spark, sf_dir)), _BOUNDS)
+
+
+@_register(
+    "serving_count_footers",
+    V.with_sql(V.QUAKES, f"n as (select count(*) as event_count from quakes where dt between date '{_DAYS[0]}' and date '{_DAYS[1]}')")
+    + shown_sql({"event_count": "int"}, "n"),
+)
+def serving_count_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(serving.count_of_files(spark, _day_folders(spark, sf_dir), *_DAYS), {"event_count": "int"})
+
+
+_BOX = "latitude between 10 and 40 and longitude between -60 and 0"
+
+
+@_register(
+    "serving_filter_clustered",
+    V.with_sql(
+        V.QUAKES,
+        f"""chosen as (select event_id, latitude, longitude from quakes
+  where dt between date '{_DAYS[0]}' and date '{_DAYS[1]}' and {_BOX})""",
+    )
+    + shown_sql({"event_id": "int", "latitude": "r9", "longitude": "r9"}, "chosen"),
+)
+def serving_filter_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter on days and a box over files laid out along a curve of both."""
+    path = scratch_path(spark, "clustered")
+    quakes = V.quakes(spark, sf_dir)
+    write_clustered(quakes, path, rows_per_file=max(1, quakes.count() // 64), day="dt")
+    days = F.col("dt").between(F.lit(_DAYS[0]), F.lit(_DAYS[1]))
+    chosen = spark.read.parquet(path).where(days).where(_BOX)
+    return shown(chosen, {"event_id": "int", "latitude": "r9", "longitude": "r9"})
+
+
 _MAP = {"lat": "num", "lon": "num", "magnitude": "num", "place": "text", "region": "text"}
 
 

@@ -74,3 +74,47 @@ def daily_stats(
         *names,
         *(F.col(f"_biggest.{field}").alias(name) for name, field in biggest.items()),
     )
+
+
+def daily_partials(
+    df: DataFrame,
+    key: str,
+    biggest: Mapping[str, str],
+    day: str = "dt",
+    edges: tuple[float, float] = MAGNITUDE_EDGES,
+) -> DataFrame:
+    """What ``daily_stats`` needs of some of the rows, in a form that can be merged with that of others."""
+    fields = dict.fromkeys(["magnitude", *biggest.values()])
+    magnitude, depth = F.col("magnitude"), F.col("depth_km")
+    return df.groupBy(day, key).agg(
+        F.count("*").alias("total_events"),
+        *magnitude_counts(edges),
+        F.sum(magnitude).alias("sum_magnitude"),
+        F.count(magnitude).alias("n_magnitude"),
+        F.max(magnitude).alias("max_magnitude"),
+        F.sum(depth).alias("depth_sum"),
+        F.count(depth).alias("n_depth"),
+        F.min(depth).alias("depth_min"),
+        F.max(depth).alias("depth_max"),
+        F.max(F.struct(*fields)).alias("_biggest"),
+    )
+
+
+def merge_partials(partials: DataFrame, key: str, biggest: Mapping[str, str], day: str = "dt") -> DataFrame:
+    """The columns of ``daily_stats`` from any number of partials of a group."""
+    added = ["total_events", "mag_count_small", "mag_count_medium", "mag_count_large"]
+    added += ["sum_magnitude", "n_magnitude", "depth_sum", "n_depth"]
+    most = ["max_magnitude", "depth_max", "_biggest"]
+    merged = partials.groupBy(day, key).agg(
+        *(F.sum(name).alias(name) for name in added),
+        *(F.max(name).alias(name) for name in most),
+        F.min("depth_min").alias("depth_min"),
+    )
+    merged = merged.withColumns(
+        {
+            "avg_magnitude": F.try_divide("sum_magnitude", "n_magnitude"),
+            "avg_depth": F.try_divide("depth_sum", "n_depth"),
+            **{name: F.col(f"_biggest.{field}") for name, field in biggest.items()},
+        }
+    )
+    return merged.drop("n_magnitude", "n_depth", "_biggest")

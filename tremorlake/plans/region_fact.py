@@ -10,13 +10,13 @@ from tremorlake.schemas import REGION_FACT_COLUMNS
 from tremorlake.sources.readers import read_regions, scan_table
 from tremorlake.sources.writers import write_table
 
-_BIGGEST = {"max_mag_event_id": "id", "max_mag_event_place": "place"}
+BIGGEST = {"max_mag_event_id": "id", "max_mag_event_place": "place"}
 
 
 def region_daily_fact(events: DataFrame, regions: DataFrame, plan: BoxPlan | None = None) -> DataFrame:
     boxes = regions.select("region_id", "lat_min", "lat_max", "lon_min", "lon_max")
     located = locate(events, boxes, "inner", plan)
-    return daily_stats(located, "region_id", _BIGGEST).select(*REGION_FACT_COLUMNS)
+    return daily_stats(located, "region_id", BIGGEST).select(*REGION_FACT_COLUMNS)
 
 
 def run_region_fact(

@@ -48,6 +48,44 @@ def count_events(events: DataFrame) -> DataFrame:
     return events.agg(F.count("*").alias("event_count"))
 
 
+def footer_days(spark: SparkSession, path: str) -> DataFrame:
+    """(day, n, low, high): events and ends of the magnitude of every day folder, from the file footers.
+
+    Spark pushes these aggregates into the Parquet reader of its second source interface. A session of its own
+    has the two settings that ask for it, so that others keep theirs.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.sources.useV1SourceList", "")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    days = session.read.parquet(path).groupBy("day")
+    return days.agg(F.count("*").alias("n"), F.min("magnitude").alias("low"), F.max("magnitude").alias("high"))
+
+
+def bounds_of_files(spark: SparkSession, path: str) -> DataFrame:
+    """``bounds`` of a table with a folder for each day, without reading a row.
+
+    Where a footer has no ends for the magnitude (a file that holds NaN), the rows are read after all.
+    """
+    whole = footer_days(spark, path).agg(F.min("day"), F.max("day"), F.min("low"), F.max("high"))
+    try:
+        row = whole.first()
+    except Exception as error:  # raised inside a task as a plain Spark error
+        if "aggregatePushdown" not in str(error):
+            raise
+        return bounds(spark.read.parquet(path))
+    return spark.createDataFrame([tuple(row)], "min_day date, max_day date, min_magnitude double, max_magnitude double")
+
+
+def count_of_files(spark: SparkSession, path: str, first_day: dt.date, last_day: dt.date) -> DataFrame:
+    """``count_events`` of a range of days, from the file footers of their folders.
+
+    A filter on any other column needs the rows: ``count_events(filter_events(...))``.
+    """
+    days = footer_days(spark, path).where(F.col("day").between(F.lit(first_day), F.lit(last_day)))
+    found = days.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("event_count")).first()
+    return spark.createDataFrame([tuple(found)], "event_count bigint")
+
+
 def map_points(events: DataFrame) -> DataFrame:
     """Position, magnitude and labels of the events that have a position."""
     renamed = {"latitude": "lat", "longitude": "lon"}

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tremorlake.operators.curve import clustered
 from tremorlake.session import scratch_path
 
 _OVERWRITE_MODE = "partitionOverwriteMode"
@@ -66,6 +67,25 @@ def write_parquet(
     writer.parquet(path)
 
 
+def write_clustered(df: DataFrame, path: str, rows_per_file: int = 1_000_000, day: str = "day") -> None:
+    """Overwrite a Parquet directory with files that each hold few days and a small area.
+
+    A filter on day and position is then answered from the footers for most files.
+    """
+    clustered(df, rows_per_file, day).write.mode("overwrite").parquet(path)
+
+
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+    """Overwrite a managed table, dealt into ``buckets`` by ``key`` and sorted by it.
+
+    Two tables with the same key and number of buckets join without a shuffle. The rows are dealt before they
+    are written, so that each bucket is one file.
+    """
+    dealt = df.repartition(buckets, key)
+    writer = dealt.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    writer.saveAsTable(table)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Overwrite a CSV directory with a header line in every file."""
     balanced(df).write.mode("overwrite").option("header", True).csv(path)
