@@ -18,6 +18,10 @@ from tremorlake.llm.common import components, staged
 from tremorlake.operators.sizing import broadcast_when_small
 
 
+#: Leaders that a row is compared with in one round; it has no more than keys.
+LEADERS = 3
+
+
 def _with_payload(pairs: DataFrame, payload: DataFrame) -> DataFrame:
     """(a, b, shared) with every payload column as l_<name> and r_<name>."""
     left = payload.select(*(F.col(c).alias(f"l_{c}") for c in payload.columns))
@@ -81,6 +85,10 @@ def link(
             apart = F.col("l_comp") != F.col("r_comp")
         met = best.join(right, (F.col("l_key") == F.col("r_key")) & apart & near())
         pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"))
+        if not last:  # payloads are joined for the few leaders that share most with a row; a later round offers others
+            ranked = F.sort_array(F.collect_list(F.struct("shared", (-F.col("a")).alias("minus"))), asc=False)
+            pairs = pairs.groupBy("b").agg(F.slice(ranked, 1, LEADERS).alias("leads")).select("b", F.explode("leads").alias("x"))
+            pairs = pairs.select((-F.col("x.minus")).alias("a"), "b", "x.shared")
         if likely is not None:
             pairs = _with_payload(pairs, payload).where(likely())
         if not last:  # one leader for each row is enough for now
