@@ -3,8 +3,8 @@
 ``index`` cuts the documents into shards (a bounded run of documents of one input partition) and writes a
 row for each term of a shard with the documents that hold it; no text is shuffled. A search takes the queries
 in blocks of bounded size. For a block, ``impacts`` turns the postings of the asked terms into impacts and, for
-pairs of terms that stand next to each other in a query's order of weights, stores the intersection with its
-joint impacts and their maximum: one row for each shard. The tenth joint impact over all shards gives each
+pairs of terms that stand next to each other in a query's order of weights, intersects their lists and stores
+the largest joint impacts: one row for each shard. The tenth joint impact over all shards gives each
 query a first threshold. ``search`` then walks each query's terms in every shard, from the heaviest. Terms left
 are bounded together: the least over all ways of covering them by single terms (their maximum) and stored pairs
 (the largest of the joint and both single maxima). Once that bound is below the threshold no new document is
@@ -43,7 +43,7 @@ BLOCK_BYTES = 4 << 20  # query text that one block holds
 _LOWERED = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 _POSTINGS = "shard bigint, term string, docs array<int>, counts array<int>, ids array<bigint>"
 #: The lists of a shard, one after the other, as packed little-endian numbers: a shard is one small row to Spark.
-_LISTS = {"a": "<i4", "b": "<i4", "sizes": "<i4", "docs": "<i4", "impacts": "<i8"}
+_LISTS = {"terms": "<i4", "sizes": "<i4", "docs": "<i4", "impacts": "<i8", "pair_a": "<i4", "pair_b": "<i4", "pair_most": "<i8"}
 _IMPACTS = f"shard bigint, ids array<bigint>, {', '.join(f'{c} binary' for c in _LISTS)}, tops array<struct<a:int,b:int,impacts:array<bigint>>>"
 
 
@@ -171,7 +171,7 @@ def _shard_impacts(table: pa.Table, block: Block, codes: dict[str, int]) -> tupl
 
 
 def impacts(postings: DataFrame, block: Block, codes: dict[str, int]) -> DataFrame:
-    """A row for each shard: doc_ids, lists of single terms (b = -1) and pairs, and each pair's largest impacts."""
+    """A row for each shard: doc_ids, impact lists of terms, and of each pair's intersection the largest impacts."""
     shared = postings.sparkSession.sparkContext.broadcast((block, codes))
     top_kind = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("impacts", pa.list_(pa.int64()))])
 
@@ -183,10 +183,12 @@ def impacts(postings: DataFrame, block: Block, codes: dict[str, int]) -> DataFra
     def run(key: tuple, table: pa.Table) -> pa.Table:
         asked, known = shared.value
         ids, single, joint = _shard_impacts(table, asked, known)
-        items = [(a, -1, *v) for a, v in single.items()] + [(*k, *v) for k, v in joint.items()]
         tops = [(*k, -np.sort(-v[1])[:TOP]) for k, v in joint.items() if len(v[1])]
-        parts = {"a": [[i[0] for i in items]], "b": [[i[1] for i in items]], "sizes": [[len(i[2]) for i in items]]}
-        parts |= {"docs": [i[2] for i in items], "impacts": [i[3] for i in items]}
+        parts = {"terms": [list(single)], "sizes": [[len(d) for d, _ in single.values()]]}
+        parts |= {"docs": [d for d, _ in single.values()], "impacts": [i for _, i in single.values()]}
+        # Of a pair's intersection the search needs the largest joint impact, the thresholds the ten largest.
+        parts |= {"pair_a": [[a for a, _ in joint]], "pair_b": [[b for _, b in joint]]}
+        parts["pair_most"] = [[int(both.max(initial=0)) for _, both in joint.values()]]
         packed = [np.concatenate([np.empty(0, kind), *(np.asarray(p, kind) for p in parts[c])]).tobytes() for c, kind in _LISTS.items()]
         best = pa.StructArray.from_arrays([*(pa.array([t[n] for t in tops], pa.int32()) for n in (0, 1)), lists([t[2] for t in tops], pa.int64())], fields=list(top_kind))
         columns = [
@@ -273,15 +275,13 @@ def _search_shards(found: DataFrame, block: Block, top: int) -> DataFrame:
         reach = list(asked.floors)  # thresholds rise from shard to shard of a task
         for batch in batches:
             for row in range(len(batch)):
-                ids, single, joint = batch.column(1)[row].as_py(), {}, {}
-                a_s, b_s, sizes, docs, both = (np.frombuffer(batch.column(c)[row].as_buffer(), kind) for c, kind in _LISTS.items())
-                ends = np.cumsum(sizes)
-                for a, b, start, end in zip(a_s.tolist(), b_s.tolist(), (ends - sizes).tolist(), ends.tolist()):
-                    pair = docs[start:end], both[start:end]
-                    if b < 0:
-                        single[a] = pair
-                    else:
-                        joint[a, b] = pair
+                ids, single = batch.column(1)[row].as_py(), {}
+                packed = {c: np.frombuffer(batch.column(c)[row].as_buffer(), kind) for c, kind in _LISTS.items()}
+                ends = np.cumsum(packed["sizes"])
+                for term, start, end in zip(packed["terms"].tolist(), (ends - packed["sizes"]).tolist(), ends.tolist()):
+                    single[term] = packed["docs"][start:end], packed["impacts"][start:end]
+                pairs = zip(packed["pair_a"].tolist(), packed["pair_b"].tolist())
+                joint = {pair: (None, packed["pair_most"][at : at + 1]) for at, pair in enumerate(pairs)}
                 shard, out = Shard(len(ids), single, joint), []
                 order = np.array([(1 << 63) - 1 if i is None else i for i in ids], np.int64)
                 for at, query in enumerate(asked.queries):
