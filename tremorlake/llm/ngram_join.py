@@ -300,7 +300,7 @@ def join(docs: DataFrame, width: int = WORDS, least: int = LEAST) -> DataFrame:
         bound = 100 * most >= least * (F.col("l_size") + F.col("r_size") - most)
         return F.arrays_overlap("l_second", "r_second") & F.arrays_overlap("l_third", "r_third") & bound
 
-    roots = link(members, near, _verifier(docs, sets, width, least), payload, likely, spare=4)
+    roots = link(members, near, _verifier(docs, sets, width, least), payload, likely, spare=0)
     if roots is None:
         placed = sets.withColumn("root", F.col("node"))
     else:
