@@ -297,6 +297,30 @@ def test_html_judges_other_languages(text):
     assert html_text.main_text(page) == f"{text.strip()}\n{text.strip()}"
 
 
+def test_html_passes_find_articles_that_nothing_names(monkeypatch, spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    wanted = [html_text.main_text(page) for page in pages]
+    known = html_text._inside
+
+    def unnamed(*args):
+        inside, off_by = known(*args)
+        return min(inside, 0), off_by
+
+    monkeypatch.setattr(html_text, "_inside", unnamed)
+    assert sum(html_text.main_text(page) == text for page, text in zip(pages, wanted)) >= 0.95 * len(pages)
+
+
+def test_html_keeps_paragraphs_of_links_and_drops_lists_of_them():
+    page = "<article><p>See <a href=1>this whole sentence of a link</a></p><ul><li><a>x</a><li><a>y</a></ul><p><a>all link</a></p></article>"
+    assert html_text.main_text(page) == "See this whole sentence of a link\nall link"
+    assert html_text.main_text("<div>Site</div><div><a>menu</a></div><article><p>Short text.</p></article><div>Imprint</div>") == "Short text."
+
+
+def test_html_reads_long_nested_pages():
+    page = "<div>" * 60000 + "<p>deep</p>" + "</div></em></p>" * 60000
+    assert len(page) > 1 << 20 and html_text.main_text(f"<article>{page}</article>") == "deep"
+
+
 def test_quality_rules_against_brute_force(documents, edge_rows):
     repeated = "a b c d e f g h i " * 5
     rows = [*edge_rows, (20, repeated, "en", "a"), (21, "same line\nsame line\n\n\nother | # $", "en", "a")]

@@ -1,13 +1,14 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. First pass: menus, headers, footers, sidebars, notices,
-adverts, forms and comments are decided by their containers; then link density, the density of stop
-words and length decide, and what stands in an article and is not mostly links is text. An article or main
-element inside a form or a container known by its name alone is text again, but for an article among comments
-or related pages. Pages whose text shares too few words with every list of stop words (counted apart for Latin
-and other scripts) are judged by length and sentence ends. Second pass:
-blocks too short or too plain to decide inherit the label of their nearest decided neighbours; a heading
-follows the block after it.
+A page is cut into blocks at block-level tags. Containers only exclude: menus, headers, footers, sidebars,
+notices, adverts, forms and comments are no text and have no say. An article or main element inside a form or a
+container known by its name alone is not excluded, but for an article among comments or related pages.
+First pass: link density, the density of stop words and length call the other blocks good, bad or undecided.
+Pages whose text shares too few words with every list of stop words (counted apart for Latin and other scripts)
+are judged by length and sentence ends. Second pass: blocks too short or too plain to decide inherit the label of
+their nearest decided neighbours, on their side of an article's border; a heading follows the block after it.
+In an article mere lists of links are bad, a link-heavy paragraph is undecided, and what has no decided
+neighbour is text.
 
 NULL html counts as empty. A page without text blocks has the text ''. Broken markup never fails: tags
 that are cut off at the end are dropped, stray end tags are ignored. Equal rows give equal rows.
@@ -19,6 +20,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tremorlake.llm.common import ship
 
-# Names of HTML elements and attributes, and common words of four languages.
+# Names of HTML elements and attributes, and common words of nine languages.
 _RAW = frozenset("script style title textarea noscript template iframe svg math object canvas xmp noembed noframes".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -89,6 +91,7 @@ _FOREIGN = 0.1
 class Block:
     inside: int  # 1 in an article, -1 in a container of other things, 0 neither
     heading: bool
+    paragraph: bool = False
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -146,16 +149,22 @@ def blocks_of(page: str) -> list[Block]:
     """The page's blocks with text, in page order."""
     out: list[Block] = []
     open_: list[tuple[str, int, str]] = []  # tag, inside, off_by
+    opened: dict[str, int] = {}  # how often each tag is open, so that stray end tags cost no search
     inside, off_by, anchors = 0, "", 0
     block = Block(0, False)
 
+    def shut() -> str:
+        tag = open_.pop()[0]
+        opened[tag] -= 1
+        return tag
+
     def close() -> None:
         nonlocal block
         block.text = " ".join("".join(block.parts).split())
         if block.text:
             out.append(block)
         heading = any(tag in _HEADINGS for tag, *_ in open_[-2:])
-        block = Block(inside, heading)
+        block = Block(inside, heading, any(tag == "p" for tag, *_ in open_[-2:]))
 
     def say(raw: str) -> None:
         if raw:
@@ -178,9 +187,9 @@ def blocks_of(page: str) -> list[Block]:
         if m["end"] or m["end2"]:
             if tag == "a":
                 anchors = max(0, anchors - 1)
-            depth = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), None)
-            if depth is not None:
-                del open_[depth:]
+            if opened.get(tag):
+                while shut() != tag:
+                    pass
                 inside, off_by = (open_[-1][1], open_[-1][2]) if open_ else (0, "")
             if tag in _BLOCKS:
                 close()
@@ -197,11 +206,12 @@ def blocks_of(page: str) -> list[Block]:
             # A new block ends an open paragraph; an item, row or cell ends the one before.
             ends = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "tr": ("tr", "td", "th", "p"), "option": ("option",)}.get(tag, ("p",))
             while open_ and (open_[-1][0] in ends or open_[-1][0] not in _BLOCKS and any(t in ends for t, *_ in open_[-4:])):
-                open_.pop()
+                shut()
             inside, off_by = (open_[-1][1], open_[-1][2]) if open_ else (0, "")
         if tag not in _VOID and not m.group(0).endswith("/>"):
             inside, off_by = _inside(tag, m["rest"] or "", inside, off_by)
             open_.append((tag, inside, off_by))
+            opened[tag] = opened.get(tag, 0) + 1
         if tag in _BLOCKS:
             close()
             anchors = 0
@@ -241,47 +251,56 @@ def foreign(blocks: list[Block]) -> set[bool]:
 
 
 def _first(block: Block, unlisted: set[bool]) -> str:
-    """good, bad, or for the second pass near and short."""
+    """off, good, bad, or for the second pass near and short."""
     size = len("".join(block.text.split()))
-    if block.inside < 0 or block.linked > _LINKS * size:
-        return "bad"
-    if block.inside > 0:
-        return "good"
-    if "©" in block.text:
+    if block.inside < 0:
+        return "off"
+    if block.inside > 0 and block.linked > _LINKS * size:
+        return "short" if block.linked < size or block.paragraph or block.heading else "bad"
+    if block.linked > _LINKS * size or block.inside == 0 and "©" in block.text:
         return "bad"
     if _size(block.text) < _SHORT:
-        return "bad" if block.linked else "short"
+        return "bad" if block.linked and block.inside == 0 else "short"
     if _latin(block.text) in unlisted:
         if _END.search(block.text) is None and not _DENSE.search(block.text):
-            return "bad"
+            return "short" if block.inside > 0 else "bad"
         return "good" if _size(block.text) > _LONG else "near"
     density = _density(_words(block.text))
     if density >= _MANY:
         return "good" if _size(block.text) > _LONG else "near"
-    return "near" if density >= _FEW else "bad"
+    return "near" if density >= _FEW else "short"
 
 
-def _second(blocks: list[Block]) -> None:
-    """Undecided blocks inherit from their nearest decided neighbours."""
-    decided = [b.label for b in blocks]
-    before, last = [], "bad"
-    for label in decided:
-        before.append(last)
+def _nearest(labels: list[str]) -> list[str]:
+    """The last label before each place that is good or bad; empty if there is none."""
+    out, last = [], ""
+    for label in labels:
+        out.append(last)
         last = label if label in ("good", "bad") else last
-    after, last = [], "bad"
-    for label in reversed(decided):
-        after.append(last)
-        last = label if label in ("good", "bad") else last
-    after.reverse()
-    for block, one, two in zip(blocks, before, after):
-        if block.label in ("near", "short"):
-            sides = {one, two}
-            if block.heading:
-                block.label = two
-            elif len(sides) == 1:
-                block.label = one
-            else:
-                block.label = "good" if block.label == "near" else "bad"
+    return out
+
+
+def _inherit(blocks: list[Block], kind: str) -> None:
+    labels = [b.label for b in blocks]
+    sides = zip(_nearest(labels), reversed(_nearest(labels[::-1])))
+    for block, (before, after) in zip(blocks, sides):
+        if block.label != kind:
+            continue
+        edge = "" if block.inside > 0 or block.paragraph else "bad"  # what stands first or last is often a bar without a name
+        known = ({after or before} if block.heading else {before or edge, after or edge}) - {""}
+        if len(known) == 1 and not (block.inside > 0 and block.paragraph):
+            block.label = known.pop()
+        else:  # neighbours that disagree, or none
+            block.label = "good" if block.inside > 0 or kind == "near" else "bad"
+
+
+def _second(blocks: list[Block]) -> None:
+    """Undecided blocks inherit from their nearest decided neighbours: first the long ones, then the short ones."""
+    voting = [b for b in blocks if b.label != "off"]
+    for _, run in groupby(voting, key=lambda b: b.inside):
+        side = list(run)
+        for kind in ("near", "short"):
+            _inherit(side, kind)
 
 
 def main_text(page: str | None) -> str:
