@@ -103,6 +103,23 @@ def test_url_filters_keep_categories_apart(spark):
     assert got == [(1, 1, "malware", True), (5, 2, "adult", True), (8, 1, "malware", True), (20, 2, "allow", False)]
 
 
+def test_url_filters_normalise_both_sides(spark):
+    listed = ("Bad.Example", "x.example/A", "2.3.4", "http://user@port.example:80//deep/", "1.2.3.9", "[::1]", "  ", "co.example.")
+    entries = spark.createDataFrame([(p, "spam") for p in listed], "pattern string, category string")
+    entries = entries.selectExpr("*", "date'2024-01-01' as dated", "'add' as action")
+    long = "http://www.bad.example/" + "a/" * 30000
+    urls = {
+        "HTTP://bad.example./": True, " http://bad.example": True, "//bad.example/x": True, "http://x.example/A/b": True,
+        "http://x.example/a": False, "http://1.2.3.4/": False, "http://1.2.3.9/x": True, "http://PORT.example/deep/er": True,
+        "https://[::1]:8080/": True, "http://notbad.example": False, "http://www.co.example": True, long: True, "": False,
+        "http://x.example?/A": False,
+    }
+    captures = spark.createDataFrame([(i, u, "c", "k") for i, u in enumerate(urls)], "page_id long, url string, category string, pattern string")
+    captures = captures.withColumn("fetched", F.expr("date'2024-02-01'"))
+    got = {r.url: r.blocked for r in url_filters.evaluate(captures, entries).collect()}
+    assert got == urls
+
+
 def test_license_scans(documents):
     rows = [
         (1, "intro\nLicensed under the APACHE license, version 2.0!\nend", "en", "a"),

@@ -5,8 +5,8 @@ from tremorlake.llm.licenses import LEAST, TEMPLATES
 URLS = r"""
 with named as (
   select page_id, url, cast(date '2024-01-01' + cast(page_id % 365 as int) as date) as fetched,
-         regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1) as host,
-         list_filter(string_split(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') as seg
+         regexp_replace(lower(regexp_extract(url, '^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.+$', '') as host,
+         list_filter(string_split(trim(regexp_extract(url, '^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1)), '/'), lambda x: x <> '') as seg
   from pages
 ),
 seen as (

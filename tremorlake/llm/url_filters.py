@@ -7,6 +7,11 @@ evaluated against the entries active when it was fetched: its URL gives the patt
 finds the active ones. The most specific (longest) pattern decides. If it is active in several
 categories, ``allow``, which lifts a block, comes first, then the smallest.
 
+Both sides are normalised alike: blanks around them, scheme, user, port, a host's case and final dot, empty
+path segments, query and fragment say nothing; the case of a path does. A URL may lack its scheme (//host/x),
+an entry its scheme and slashes (host/x). Addresses (1.2.3.4, [::1]) have no parent domains. Of a path the leading
+parts up to the list's deepest entry are compared: a deeper one has no entry to meet.
+
 A NULL or unparsable URL, or a NULL fetch date, matches nothing. Entries without pattern or date are
 ignored. Of several entries of a pattern and category on one day an addition wins; a NULL category is the empty one.
 Repeated captures are evaluated one by one. Columns other than the ones named here are left out.
@@ -18,33 +23,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
-PATH = r"^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)"
+from tremorlake.llm.common import BLANKS, staged
+
+HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)"
+PATH = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*([^?#]*)"
+ADDRESS = r"^(?:\[.*\]|[0-9]+(?:\.[0-9]+){3})$"
 
 
 def host_of(url: Column) -> Column:
-    return F.regexp_extract(F.lower(url), HOST, 1)
+    return F.regexp_replace(F.lower(F.regexp_extract(F.btrim(url, F.lit(BLANKS)), HOST, 1)), r"\.+$", "")
 
 
 def segments_of(url: Column) -> Column:
-    parts = F.split(F.regexp_extract(F.lower(url), PATH, 1), "/")
+    parts = F.split(F.regexp_extract(F.btrim(url, F.lit(BLANKS)), PATH, 1), "/")
     return F.filter(parts, lambda p: p != "")
 
 
-def patterns_of(url: Column) -> Column:
-    """Every pattern that names the URL: domains of two labels or more (or the host), and paths."""
+def entry_of(pattern: Column) -> Column:
+    """A list entry in the form of ``patterns_of``; NULL if it names no host."""
+    bare = F.btrim(pattern, F.lit(BLANKS))
+    url = F.when(bare.rlike("^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//"), bare).otherwise(F.concat(F.lit("//"), bare))
+    host = host_of(url)
+    return F.when(host != "", F.concat_ws("/", host, segments_of(url)))
+
+
+def patterns_of(url: Column, deepest: int) -> Column:
+    """Every pattern that names the URL: domains of two labels or more (or the host), and paths of up to ``deepest`` segments."""
     host, segments = host_of(url), segments_of(url)
     labels = F.split(host, r"\.")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1)))
-    domains = F.transform(starts, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    ends = F.when(F.size(segments) > 0, F.sequence(F.lit(1), F.size(segments))).otherwise(F.array().cast("array<int>"))
+    most = F.when(host.rlike(ADDRESS), F.lit(1)).otherwise(F.greatest(F.size(labels) - 1, F.lit(1)))
+    domains = F.transform(F.sequence(F.lit(1), most), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    n = F.least(F.size(segments), F.lit(deepest))
+    ends = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     paths = F.transform(ends, lambda i: F.concat_ws("/", host, F.slice(segments, 1, i)))
     return F.when(host != "", F.concat(domains, paths)).otherwise(F.array().cast("array<string>"))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, category, valid_from, valid_to) from dated entries (pattern, category, dated, action)."""
-    clean = entries.where("pattern is not null and dated is not null and action in ('add', 'remove')")
+    clean = entries.withColumn("pattern", entry_of(F.col("pattern")))
+    clean = clean.where("pattern is not null and dated is not null and action in ('add', 'remove')")
     keys = ["pattern", "category", "dated"]
     clean = clean.withColumn("category", F.coalesce("category", F.lit("")))
     daily = clean.groupBy(*keys).agg(F.max(F.col("action") == "add").alias("added"))
@@ -59,8 +77,9 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     The captures of a hot host are split by adaptive execution: nothing needs them in one task.
     """
     rows = captures.select("page_id", "url", "fetched", F.monotonically_increasing_id().alias("__row"))
-    asked = rows.select("*", F.explode_outer(patterns_of(F.col("url"))).alias("__pattern"))
-    active = intervals(entries)
+    active = staged(intervals(entries), "intervals")
+    deepest = active.agg(F.max(F.size(F.split("pattern", "/")))).first()[0] or 1
+    asked = rows.select("*", F.explode_outer(patterns_of(F.col("url"), deepest - 1)).alias("__pattern"))
     asof = (
         (F.col("__pattern") == F.col("pattern"))
         & (F.col("fetched") >= F.col("valid_from"))
