@@ -273,6 +273,34 @@ def test_quality_classifier_on_held_out_labels(documents, spark):
     assert quality_classifier.classify(documents().where("false"), marks).count() == 0
 
 
+def test_co_training_helps_the_weaker_view_and_never_takes_what_harms():
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 3000)
+    good = np.c_[rng.normal(size=(3000, 20)) + 1.5 * (2 * y[:, None] - 1) * (np.arange(20) < 6), np.ones(3000)]
+    weak = np.c_[rng.normal(size=(3000, 40)) + 0.5 * (2 * y[:, None] - 1) * (np.arange(40) < 8), np.ones(3000)]
+    known, free, test = slice(0, 250), slice(250, 1800), slice(1800, 3000)
+
+    def lend(wrong):
+        def exchange(model):
+            loans = []
+            for p in model.score(good[free], weak[free])[:2]:
+                sure = np.maximum(p, 1 - p) >= 0.95
+                loans.append((good[free][sure], weak[free][sure], ((p[sure] > 0.5) ^ wrong).astype(int)))
+            return loans
+
+        return exchange
+
+    def errors(model, view):
+        p = model.score(good[test], weak[test])[view]
+        return int(((p > 0.5) != y[test]).sum())
+
+    alone = quality_classifier.co_train(good[known], weak[known], y[known], lend(False), rounds=1)
+    helped = quality_classifier.co_train(good[known], weak[known], y[known], lend(False), rounds=3)
+    misled = quality_classifier.co_train(good[known], weak[known], y[known], lend(True), rounds=3)
+    assert errors(helped, 1) < errors(alone, 1) and errors(helped, 2) <= errors(alone, 2)
+    assert errors(misled, 2) <= errors(alone, 2)
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header>Site <a href=/>home</a></header><nav><ul><li><a>x</a></ul></nav><div class="cookie-notice">We use cookies</div>
 <article><header><h1>Head &amp; line</h1></header><p>First <b>bold</b>
