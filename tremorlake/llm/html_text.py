@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
@@ -68,6 +69,8 @@ _OTHER_STOPS = tuple(
         "de het een en van in is dat op te zijn voor met die niet aan er om ook als dan maar bij of uit nog naar heeft ze door werd",
     )
 )
+#: Each stop word with the lists that hold it, one bit a list.
+_LISTS = {w: sum(1 << i for i, stop in enumerate((_STOP, *_OTHER_STOPS)) if w in stop) for w in _STOP.union(*_OTHER_STOPS)}
 _LATIN = re.compile(r"[a-zA-Z\u00c0-\u024f\u1e00-\u1eff]")
 #: Letters of scripts without blanks; one stands for about three of an alphabet.
 _DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
@@ -232,11 +235,15 @@ def _latin(text: str) -> bool:
 
 
 def _density(words: list[str]) -> float:
-    return max(sum(w in stop for w in words) for stop in (_STOP, *_OTHER_STOPS)) / len(words) if words else 0.0
+    if not words:
+        return 0.0
+    held = Counter(map(_LISTS.get, words))
+    held.pop(None, None)
+    return max(sum(n for lists, n in held.items() if lists >> i & 1) for i in range(1 + len(_OTHER_STOPS))) / len(words)
 
 
 def _words(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text)]
+    return _WORD.findall(text.lower())
 
 
 def foreign(blocks: list[Block]) -> set[bool]:
@@ -261,7 +268,7 @@ def _first(block: Block, unlisted: set[bool]) -> str:
         return "bad"
     if _size(block.text) < _SHORT:
         return "bad" if block.linked and block.inside == 0 else "short"
-    if _latin(block.text) in unlisted:
+    if unlisted and _latin(block.text) in unlisted:
         if _END.search(block.text) is None and not _DENSE.search(block.text):
             return "short" if block.inside > 0 else "bad"
         return "good" if _size(block.text) > _LONG else "near"
