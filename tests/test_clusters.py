@@ -206,3 +206,20 @@ def test_nearest_ties_and_no_clusters(spark):
     assert nearest_clusters(events, spark.createDataFrame(rows, CLUSTER)).first()["cluster_id"] == 4
     row = nearest_clusters(events, spark.createDataFrame([], CLUSTER)).first()
     assert (row["cluster_id"], row["is_nearest"]) == (None, False)
+
+
+def derived_clusters(spark, n=40):
+    """A dimension whose expected size Spark knows to be small, as that of a small file."""
+    ids = spark.range(n)
+    where = S.surface_vector(F.col("id") * 37 % 170 - 85, F.col("id") * 97 % 350 - 175)
+    centre = [axis.alias(name) for name, axis in zip(("center_x", "center_y", "center_z"), where)]
+    return ids.select(F.col("id").cast("int").alias("cluster_id"), *centre, (F.col("id") * 10 + 200.0).alias("max_r_km"))
+
+
+def test_long_lists_of_a_small_dimension_are_not_broadcast(spark, plan_of):
+    events, clusters = random_events(100, 11), derived_clusters(spark)
+    df = match_clusters(spark.createDataFrame(events, EVENT), clusters, per_pass=5)
+    plan = plan_of(df).split("== Physical Plan ==")[1]
+    assert plan.count("SortMergeJoin") == 1
+    rows = [tuple(row) for row in clusters.collect()]
+    assert {r["id"]: r["cluster_id"] for r in df.collect()} == {e[0]: first_match(e, rows) for e in events}

@@ -35,12 +35,21 @@ def first_per_row(rows: DataFrame, pieces: DataFrame, keys: Sequence[str], row:
     One join. The rows of a key are where the join has put them, so the aggregate by (keys, row) needs no
     shuffle of its own. ``row`` tells rows of one key apart.
     """
+    pieces = shuffled(pieces)
     carried = rows.select(*keys, row, F.struct(*kept).alias("_kept"), *(c for c in rows.columns if c not in (*keys, row, *kept)))
     met = carried.join(pieces, list(keys), "left").withColumn("_hit", hit)
     first = met.groupBy(*keys, row).agg(F.first("_kept").alias("_kept"), F.min("_hit").alias("_hit"))
     return first.select("_kept.*", "_hit")
 
 
+def shuffled(table: DataFrame) -> DataFrame:
+    """``table`` with the hint that a join shuffles it, whatever size Spark expects of it.
+
+    Spark's estimate knows nothing of rows that an explode adds, so it would broadcast lists of any length.
+    """
+    return table.hint("shuffle_merge")
+
+
 def salt_of(salts: Column, *values: Column) -> Column:
     """A number below ``salts``, the same in a retried task; identical rows of two partitions differ."""
     return F.pmod(F.xxhash64(F.spark_partition_id(), *values), salts).cast("int")
