@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tremorlake.functions import sphere as S
 from tremorlake.operators.clusters import (
+    _ring,
     attach_assignment,
     distance_to_centre,
     cluster_lookup,
@@ -223,3 +224,21 @@ def test_long_lists_of_a_small_dimension_are_not_broadcast(spark, plan_of):
     assert plan.count("SortMergeJoin") == 1
     rows = [tuple(row) for row in clusters.collect()]
     assert {r["id"]: r["cluster_id"] for r in df.collect()} == {e[0]: first_match(e, rows) for e in events}
+
+
+def test_nearest_shuffles_cells_and_compares_few_centres(spark, plan_of):
+    events, clusters = random_events(60, 12), derived_clusters(spark, 400)
+    df = nearest_clusters(spark.createDataFrame(events, EVENT), clusters, per_pass=5)
+    rows = [tuple(row) for row in clusters.collect()]
+    assert {r["id"]: r["cluster_id"] for r in df.collect()} == {e[0]: nearest(e, rows) for e in events}
+    # Neither the cells nor the centres are broadcast, whatever size Spark expects of them, and no list holds them.
+    asks = spark.range(3).select(F.col("id").alias("_row"), *((F.col("id") / 10).alias(f"_point_{axis}") for axis in "xyz"))
+    plan = plan_of(_ring(asks, usable_clusters(clusters), 0.25, 2.0)).split("== Physical Plan ==")[1]
+    assert plan.count("SortMergeJoin") == 3 and "collect_list" not in plan
+
+
+def test_nearest_beyond_the_broadcast_bound_of_points_and_centres_far_outside(spark):
+    rows = [(i, *(3.0 * x for x in unit(i * 7 % 90, i * 31 % 180)), 5.0) for i in range(60)] + random_clusters(60, lambda r: 20.0, 13)
+    events = random_events(80, 14)
+    df = nearest_clusters(spark.createDataFrame(events, EVENT), spark.createDataFrame(rows, CLUSTER), per_pass=2)
+    assert {r["id"]: r["cluster_id"] for r in df.collect()} == {e[0]: nearest(e, rows) for e in events}
