@@ -443,3 +443,33 @@ def test_pipeline_drops_copies_with_one_word_in_fifty_replaced(documents, spark)
     near = [f"w{i}" if i % 50 == 25 else w for i, w in enumerate(words)]
     docs = documents((1, " ".join(words), "en", "a"), (2, " ".join(near), "en", "a"))
     assert [r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()] == [1]
+
+
+@pytest.mark.parametrize("changed", [(6, 14), (0, 30)])
+def test_ngram_join_of_a_crowd_around_one_text(documents, monkeypatch, changed):
+    rng = random.Random(8)
+    base = _prose(12, 400).split()
+    rows = []
+    for i in range(0, 240, 2):
+        words = list(base)
+        for at in rng.sample(range(len(words)), rng.randrange(*changed)):
+            words[at] = f"w{rng.randrange(9999)}"
+        rows.append((i, " ".join(words), "en", "a"))
+        if i % 6 == 0:  # one word off the last: linked wherever it stands against the others
+            words[rng.randrange(len(words))] = f"w{rng.randrange(9999)}"
+            rows.append((i + 1, " ".join(words), "en", "a"))
+    met, one = [], linking.link
+
+    def counted(members, near, verify, *args, **kwargs):
+        def seen(pairs):
+            met.append(pairs.count())
+            return verify(pairs)
+
+        return one(members, near, seen, **kwargs)  # every candidate is verified
+
+    monkeypatch.setattr(ngram_join, "link", counted)
+    monkeypatch.setattr(linking, "CROWD", 0, raising=False)
+    got = ngram_join.join(documents(*rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == _links(rows)
+    if changed[0]:  # few are linked; all pairs would be 12,720
+        assert sum(met) < 1500, met

@@ -3,7 +3,9 @@
 A pair whose index reaches the threshold shares a token among the first |x| - ceil(t |x|) + 1 tokens of
 each set under any global order. The first order (rare tokens first) gives join keys; a candidate must
 also share prefix tokens under two more orders, and the smaller counts of 64 bins of tokens, which bound
-the intersection, must reach the threshold, before its whole texts are compared.
+the intersection, must reach the threshold, before its whole texts are compared. Many documents around one text
+share the same keys without being similar enough; what each has or lacks against one of them gives keys there
+(``_differences``).
 
 How many documents hold a token is counted exactly, up to ``FREQUENT``, beyond which order no longer matters.
 Tokens travel packed: a run of documents sends each range of hashes its tokens of that range, and is told
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import partitions, ship, staged, text_of
+from tremorlake.llm.common import partitions, passing, ship, staged, text_of
 from tremorlake.llm.linking import link
 from tremorlake.operators.sizing import broadcast_when_small
 
@@ -272,44 +274,124 @@ def _verifier(docs: DataFrame, nodes: DataFrame, width: int, least: int):
     return verify
 
 
+def _differing(docs: DataFrame, nodes: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """``asked`` (a, b, ...) with the sizes of both sets and the tokens that only one of them holds."""
+    schema = "a bigint, b bigint, l_comp bigint, r_comp bigint, l_size bigint, r_size bigint, tokens array<bigint>"
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, leaders = Shingler(width), {}
+        for batch in batches:
+            apart, sizes = [], ([], [])
+            for a, one, two in zip(batch.column(0).to_pylist(), batch.column(4), batch.column(5)):
+                if a not in leaders:
+                    if len(leaders) == 16:
+                        leaders.clear()
+                    leaders[a] = shingles(one.as_py())
+                right = shingles(two.as_py())
+                apart.append(np.setxor1d(leaders[a], right, assume_unique=True))
+                sizes[0].append(len(leaders[a]))
+                sizes[1].append(len(right))
+            flat = np.concatenate([np.empty(0, np.uint64), *apart]).view(np.int64)
+            offsets = pa.array(np.cumsum([0, *map(len, apart)]).astype(np.int32))
+            tokens = pa.ListArray.from_arrays(offsets, pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(s, pa.int64()) for s in sizes), tokens], _named(schema))
+
+    of = asked.select(F.col("a").alias("of")).union(asked.select(F.col("b").alias("of"))).distinct()
+    of = of.join(nodes, F.col("of") == F.col("node")).select("node", "rep_md5", "rep_id")
+    texts = staged(_texts_of(docs, of), "texts")
+    # Leaders are few and have many rows each: their texts go to the rows if they measure small.
+    lead = texts.join(asked.select(F.col("a").alias("of")).distinct(), F.col("node") == F.col("of"), "left_semi")
+    lead = broadcast_when_small(lead.select(F.col("node").alias("l"), F.col("text").alias("one")), max_bytes=16 << 20)
+    two = texts.select(F.col("node").alias("r"), F.col("text").alias("two"))
+    met = asked.join(two, F.col("b") == F.col("r")).join(lead, F.col("a") == F.col("l"))
+    return met.select("a", "b", "l_comp", "r_comp", "one", "two").mapInArrow(differ, schema)
+
+
+def _differences(docs: DataFrame, nodes: DataFrame, width: int, least: int):
+    """Candidates among the rows of a leader, by the tokens in which they differ from it.
+
+    With D(x) the tokens that only one of x and the leader holds, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|
+    tokens. They are linked if that is at most ``room`` = (100 - t) / (100 + t) of their summed sizes, so D(x) and D(y)
+    share at least half of |D(x)| + |D(y)| - room. If x is not linked to the leader, D(x) alone exceeds what x and
+    the leader may differ in, so that at least one token is shared, found in the rare prefixes of D(x) and D(y).
+    Two rows that are both linked to the leader are in one component and need no test.
+    """
+    give, all_ = 100 - least, 100 + least
+
+    def differ(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = _differing(docs, nodes, asked, width).withColumn("d", F.size("tokens"))
+        linked = (all_ * F.col("d") <= give * (F.col("l_size") + F.col("r_size"))).alias("linked")
+        comp = F.when(linked, F.col("l_comp")).otherwise(F.col("r_comp")).alias("comp")
+        rows = staged(rows.select("a", "b", comp, "l_size", F.col("r_size").alias("size"), "d", linked, "tokens"), "differences")
+        links = rows.where("linked").select("a", "b")
+        # The least that a row must share with one that is not linked to the leader, and (full) an unlinked row with any.
+        rows = rows.withColumns({
+            "least": F.expr(f"cast(greatest(1, floor(({all_} * d + {give} * (l_size - size)) / {2 * all_}) + 1) as int)"),
+            "full": F.expr(f"cast(greatest(1, ceil(({all_} * d - {give} * (l_size + size)) / {2 * all_})) as int)"),
+        })
+        held = rows.select(F.col("a").alias("lead"), F.explode("tokens").alias("of")).groupBy("lead", "of").agg(F.count("*").alias("held"))
+        tokens = rows.select("a", "b", F.explode("tokens").alias("token"))
+        tokens = tokens.join(held, (F.col("a") == F.col("lead")) & (F.col("token") == F.col("of")))
+        order = F.sort_array(F.collect_list(F.struct("held", "token"))).alias("order")
+        order = tokens.groupBy("a", "b").agg(order).withColumnsRenamed({"a": "lead", "b": "of"})
+        rows = rows.drop("tokens").join(order, (F.col("a") == F.col("lead")) & (F.col("b") == F.col("of")))
+        taken = F.col("d") - F.when(F.col("linked"), F.col("least")).otherwise(F.least("least", "full")) + 1
+        rows = rows.select("a", "b", "comp", "size", "d", "linked", "least", "full", F.posexplode(F.slice("order", 1, F.greatest(taken, F.lit(0)))).alias("at", "x"))
+        rows = staged(rows.where("x.held > 1").select(*rows.columns[:-1], F.col("x.token").alias("token")), "tokens")
+        short, whole = F.expr("at <= d - least"), F.expr("at <= d - full")
+
+        def side(prefix: str, where) -> DataFrame:
+            return rows.where(where).select(*(F.col(c).alias(f"{prefix}_{c}") for c in ("a", "b", "comp", "size", "d", "at", "token")))
+
+        share = F.expr(f"2 * least(l_d - l_at, r_d - r_at) >= l_d + r_d - floor({give} * (l_size + r_size) / {all_})")
+        same = (F.col("l_a") == F.col("r_a")) & (F.col("l_token") == F.col("r_token")) & share
+        apart = side("l", ~F.col("linked") & short).join(side("r", ~F.col("linked") & short), same & (F.col("l_comp") < F.col("r_comp")))
+        mixed_ = side("l", ~F.col("linked") & whole).join(side("r", F.col("linked") & short), same & (F.col("l_comp") != F.col("r_comp")))
+        found = apart.select("l_b", "r_b").union(mixed_.select("l_b", "r_b"))
+        return links, found.select(F.col("l_b").alias("a"), F.col("r_b").alias("b")).distinct()
+
+    return differ
+
+
 def join(docs: DataFrame, width: int = WORDS, least: int = LEAST) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; components of documents linked by similarity."""
     spark = docs.sparkSession
     ship(spark)
-    rows = staged(_keyed(docs, width, least), "keyed")
-    known = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "md5")
-    sets = rows.groupBy("digest", "n").agg(F.min(known).alias("rep"), F.min("doc_id").alias("low"))
-    sets = sets.withColumn("node", F.monotonically_increasing_id())
-    sets = staged(
-        sets.select("node", "digest", "n", "low", F.col("rep.md5").alias("rep_md5"), F.expr("nullif(rep.id, -9223372036854775808L)").alias("rep_id")),
-        "sets",
-    )
-    same = (F.col("md5") == F.col("rep_md5")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))
-    nodes = rows.where("size(keys) > 0").join(sets, same).dropDuplicates(["node"])
-    members = staged(nodes.select(F.explode("keys").alias("key"), "node", sets["n"].alias("size")), "members")
-    counts = members.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select(F.col("key").alias("k"))
-    members = staged(members.join(counts, F.col("key") == F.col("k"), "left_semi"), "members")
-    live = members.select(F.col("node").alias("of")).distinct().join(sets, F.col("of") == F.col("node"))
-    payload = staged(_signatures(docs, live.select("node", "rep_md5", "rep_id"), width, least), "signatures")
-
-    def near():
-        return 100 * F.least("l_size", "r_size") >= least * F.greatest("l_size", "r_size")
-
-    def likely():
-        most = F.aggregate(F.zip_with("l_spread", "r_spread", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-        bound = 100 * most >= least * (F.col("l_size") + F.col("r_size") - most)
-        return F.arrays_overlap("l_second", "r_second") & F.arrays_overlap("l_third", "r_third") & bound
-
-    roots = link(members, near, _verifier(docs, sets, width, least), payload, likely, spare=0)
-    if roots is None:
-        placed = sets.withColumn("root", F.col("node"))
-    else:
-        roots = roots.withColumnRenamed("node", "of")
-        placed = sets.join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
-    placed = staged(placed.select("digest", "n", "root", "low"), "placed")
-    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    placed = placed.drop("low").join(lowest, "root").select(F.col("digest").alias("d"), F.col("n").alias("size"), "component_id")
-    out = rows.join(placed, (F.col("digest") == F.col("d")) & (F.col("n") == F.col("size")))
-    # Rows with an empty set are linked with nothing, not even with each other.
-    alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    with passing() as keep:
+        rows = staged(_keyed(docs, width, least), "keyed")
+        known = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "md5")
+        sets = rows.groupBy("digest", "n").agg(F.min(known).alias("rep"), F.min("doc_id").alias("low"))
+        sets = sets.withColumn("node", F.monotonically_increasing_id())
+        sets = staged(
+            sets.select("node", "digest", "n", "low", F.col("rep.md5").alias("rep_md5"), F.expr("nullif(rep.id, -9223372036854775808L)").alias("rep_id")),
+            "sets",
+        )
+        same = (F.col("md5") == F.col("rep_md5")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))
+        nodes = rows.where("size(keys) > 0").join(sets, same).dropDuplicates(["node"])
+        members = staged(nodes.select(F.explode("keys").alias("key"), "node", sets["n"].alias("size")), "members")
+        counts = members.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select(F.col("key").alias("k"))
+        members = staged(members.join(counts, F.col("key") == F.col("k"), "left_semi"), "members")
+        live = members.select(F.col("node").alias("of")).distinct().join(sets, F.col("of") == F.col("node"))
+        payload = staged(_signatures(docs, live.select("node", "rep_md5", "rep_id"), width, least), "signatures")
+
+        def near():
+            return 100 * F.least("l_size", "r_size") >= least * F.greatest("l_size", "r_size")
+
+        def likely():
+            most = F.aggregate(F.zip_with("l_spread", "r_spread", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+            bound = 100 * most >= least * (F.col("l_size") + F.col("r_size") - most)
+            return F.arrays_overlap("l_second", "r_second") & F.arrays_overlap("l_third", "r_third") & bound
+
+        roots = link(members, near, _verifier(docs, sets, width, least), payload, likely, spare=0, differ=_differences(docs, sets, width, least))
+        if roots is None:
+            placed = sets.withColumn("root", F.col("node"))
+        else:
+            roots = roots.withColumnRenamed("node", "of")
+            placed = sets.join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
+        placed = staged(placed.select("digest", "n", "root", "low"), "placed")
+        lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+        placed = placed.drop("low").join(lowest, "root").select(F.col("digest").alias("d"), F.col("n").alias("size"), "component_id")
+        out = rows.join(placed, (F.col("digest") == F.col("d")) & (F.col("n") == F.col("size")))
+        # Rows with an empty set are linked with nothing, not even with each other.
+        alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+        return keep(staged(out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id")), "components"))
