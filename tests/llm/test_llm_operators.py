@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tremorlake.llm import bpe, fingerprints, html_text, licenses, line_dedup, linking, mixing, ngram_join
+from tremorlake.llm import bpe, common, fingerprints, html_text, licenses, line_dedup, linking, mixing, ngram_join
 from tremorlake.llm import quality_classifier, quality_rules, url_filters
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -445,6 +445,18 @@ def test_pipeline_drops_copies_with_one_word_in_fifty_replaced(documents, spark)
     assert [r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()] == [1]
 
 
+def test_line_dedup_and_ngram_join_delete_their_tables(documents):
+    line = _prose(5, 20).translate(str.maketrans("0123456789", "bcdfghjkmp"))
+    docs = documents((1, line, "en", "a"), (2, line + " q", "en", "a"))
+    before = len(common._STAGED)
+    left = line_dedup.dedup(docs)
+    assert len(common._STAGED) == before + 1  # what the result reads
+    joined = ngram_join.join(docs)
+    assert len(common._STAGED) == before + 2
+    assert sorted((r.doc_id, r.n_removed) for r in left.collect()) == [(1, 0), (2, 1)]
+    assert joined.count() == 2
+
+
 @pytest.mark.parametrize("changed", [(6, 14), (0, 30)])
 def test_ngram_join_of_a_crowd_around_one_text(documents, monkeypatch, changed):
     rng = random.Random(8)
