@@ -485,3 +485,35 @@ def test_ngram_join_of_a_crowd_around_one_text(documents, monkeypatch, changed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == _links(rows)
     if changed[0]:  # few are linked; all pairs would be 12,720
         assert sum(met) < 1500, met
+
+
+def test_line_dedup_compares_texts_of_few_pairs(documents, monkeypatch):
+    rng = random.Random(9)
+    words = _prose(9, 40).translate(str.maketrans("0123456789", "bcdfghjkmp")).split()
+    rows = [(i, " ".join(rng.sample(words, len(words))), "en", "a") for i in range(20)]  # the same letters in another order
+    rows.append((20, rows[0][1].replace(" ", " a ", 1), "en", "a"))
+    seen, one = [], linking.link
+
+    def counted(members, near, verify, **kwargs):
+        def watched(pairs):
+            left = [str(t.path) for t in common._STAGED]
+            assert not any("marks" in path for path in left), left
+            monkeypatch.setattr(line_dedup, "staged", lambda df, label: seen.append(common.staged(df, label)) or seen[-1])
+            return verify(pairs)
+
+        return one(members, near, watched, **kwargs)
+
+    monkeypatch.setattr(line_dedup, "link", counted)
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup(documents(*rows)).collect()}
+    assert got == {i: int(i == 20) for i in range(21)}
+    assert not any("norm" in df.columns for df in seen)  # texts are carried to the last pairs alone
+
+
+def test_sparse_lines_need_no_more_edits(spark):
+    rng = random.Random(10)
+    lines = ["".join(rng.choice("aeionrst bcdé这🙂") for _ in range(rng.randrange(40))) for _ in range(60)]
+    lines += ["".join(c if rng.random() > 0.1 else rng.choice("xa ") for c in line) for line in lines]
+    pairs = spark.createDataFrame([(a, b) for a in lines for b in lines[:60]], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    least = F.greatest(F.levenshtein(line_dedup.sparse(a), line_dedup.sparse(b)), line_dedup.edits_at_least(line_dedup.letter_counts(a), line_dedup.letter_counts(b)))
+    assert pairs.where(least > F.levenshtein(a, b)).count() == 0
