@@ -509,6 +509,42 @@ def test_line_dedup_compares_texts_of_few_pairs(documents, monkeypatch):
     assert not any("norm" in df.columns for df in seen)  # texts are carried to the last pairs alone
 
 
+def test_line_dedup_ends_candidates_by_letters_where_they_meet(documents, monkeypatch):
+    rng = random.Random(12)
+    shared = "the committee published another remarkable statement"
+    own = [rng.sample("abcdefghijklmnopqrstuvwxyz", 13) for _ in range(8)]
+    rows = [(i, f"{shared} " + " ".join("".join(rng.choices(few, k=6)) for _ in range(20)), "en", "a") for i, few in enumerate(own)]
+    rows += [(20 + i, text.replace("statement", "statements"), "en", "a") for i, text, *_ in rows[:2]]
+    met, one = [], linking.link
+
+    def counted(members, near, verify, **kwargs):
+        def seen(pairs):
+            met.append(pairs.count())
+            return verify(pairs)
+
+        def kept():
+            rows = members()
+            left = [str(t.path) for t in common._STAGED]
+            assert sum("shared" in path for path in left) == 2, left  # one table for each kind of keys, counted as it was made
+            return rows
+
+        return one(kept, near, seen, **kwargs)
+
+    monkeypatch.setattr(line_dedup, "link", counted)
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup(documents(*rows)).collect()}
+    assert got == {i: int(i >= 20) for i, *_ in rows}
+    assert met == [2]  # all ten share keys
+
+
+@pytest.mark.parametrize("bits", [8, 12])
+def test_letter_codes_differ_no_more_than_counts(spark, bits):
+    numbers = spark.range(80).select(F.col("id").cast("int").alias("x"))
+    pairs = numbers.join(numbers.select(F.col("x").alias("y")))
+    bits_apart = F.bit_count(line_dedup._turned(F.col("x") % (2 * bits), bits).bitwiseXOR(line_dedup._turned(F.col("y") % (2 * bits), bits)))
+    apart = F.abs(F.col("x") - F.col("y"))
+    assert pairs.where((bits_apart > apart) | ((apart <= bits) & (bits_apart != apart))).count() == 0
+
+
 def test_sparse_lines_need_no_more_edits(spark):
     rng = random.Random(10)
     lines = ["".join(rng.choice("aeionrst bcdé这🙂") for _ in range(rng.randrange(40))) for _ in range(60)]
