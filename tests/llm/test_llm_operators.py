@@ -553,3 +553,37 @@ def test_sparse_lines_need_no_more_edits(spark):
     a, b = F.col("a"), F.col("b")
     least = F.greatest(F.levenshtein(line_dedup.sparse(a), line_dedup.sparse(b)), line_dedup.edits_at_least(line_dedup.letter_counts(a), line_dedup.letter_counts(b)))
     assert pairs.where(least > F.levenshtein(a, b)).count() == 0
+
+
+def test_line_dedup_spares_pairs_that_links_have_joined(documents, monkeypatch):
+    text = _prose(21, 60).translate(str.maketrans("0123456789", "bcdfghjkmp"))
+    words = text.split()
+    rows = [(i, " ".join(w if k != 2 * i else "changed" for k, w in enumerate(words)), "en", "a") for i in range(10)]
+    rows += [(20 + i, " ".join(w + "x" if k % 3 else "other" for k, w in enumerate(words)) + f" end{'abc'[i]}", "en", "a") for i in range(3)]
+    met, one = [], linking.link
+
+    def counted(members, near, verify, **kwargs):
+        def seen(pairs):
+            met.append(pairs.count())
+            return verify(pairs)
+
+        return one(members, near, seen, **kwargs)
+
+    monkeypatch.setattr(line_dedup, "link", counted)
+    # Few rows of keys make slices only where asked.
+    for module, name, value in ((linking, "LIKELIEST", 0), (linking, "SLICE", 100), (linking, "SLICES", 2), (line_dedup, "_FEW", 4)):
+        monkeypatch.setattr(module, name, value, raising=False)
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup(documents(*rows)).collect()}
+    assert got == {i: int(i not in (0, 20)) for i, *_ in rows}
+    assert sum(met) < 30, met  # all pairs of the groups are 48
+
+
+def test_line_keys_take_short_runs_last(documents):
+    rng = random.Random(22)
+    lines = [" of the to ".join("".join(rng.choices("bcdfgklmnprstuvwz", k=9)) for _ in range(30)) for _ in range(2)]
+    rows = [(i, line, "en", "a") for i, line in enumerate(lines)] + [(2, "of the to of the to be", "en", "a")]
+    found = line_dedup.occurrences(documents(*rows), line_dedup.MIN_WORDS, line_dedup.SIMILAR)
+    runs = {r.doc_id: set(r.runs) for r in found.collect()}
+    assert len(runs[0]) == len(runs[1]) == line_dedup.RUNS
+    assert not runs[0] & runs[1]  # they share nothing else, over and over
+    assert len(runs[2]) == 5  # a line of no other runs has these
