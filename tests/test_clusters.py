@@ -1,10 +1,12 @@
 import math
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tremorlake.functions import sphere as S
+from tremorlake.operators import clusters as clusters_module
 from tremorlake.operators.clusters import (
     _ring,
     attach_assignment,
@@ -242,3 +244,44 @@ def test_nearest_beyond_the_broadcast_bound_of_points_and_centres_far_outside(sp
     events = random_events(80, 14)
     df = nearest_clusters(spark.createDataFrame(events, EVENT), spark.createDataFrame(rows, CLUSTER), per_pass=2)
     assert {r["id"]: r["cluster_id"] for r in df.collect()} == {e[0]: nearest(e, rows) for e in events}
+
+
+def test_pieces_leave_out_spheres_that_no_first_match_needs(spark):
+    rows = [(i, *unit(math.degrees(0.001 + 0.00001 * (i % 5)), 0.0), 500.0 - i % 20) for i in range(400)]  # a crowd in one place
+    lookup = cluster_lookup(spark.createDataFrame(rows, CLUSTER), per_pass=1)
+    listed = lookup.table.select(F.explode("_candidates").alias("c")).select("c.cluster_id").distinct()
+    assert listed.count() < 100  # most lie inside the first
+    events = [(f"e{i}", 4.6 * (i % 7) / 6, -4.6 * (i // 7) / 6, 30.0 * (i % 4)) for i in range(49)]
+    got = match_clusters(spark.createDataFrame(events, EVENT), lookup)
+    assert {r["id"]: r["cluster_id"] for r in got.collect()} == {e[0]: first_match(e, rows) for e in events}
+
+
+def test_pieces_list_a_sphere_only_where_it_reaches(spark):
+    rows = [(i, *unit(7.0 * i, 29.0 * i), 400.0) for i in range(12)]
+    lookup = cluster_lookup(spark.createDataFrame(rows, CLUSTER), per_pass=1)
+    pieces = lookup.table.select("_cube_x", "_cube_y", "_cube_z", F.explode("_candidates").alias("c")).collect()
+    assert {r.c.cluster_id for r in pieces} == set(range(12))
+    for r in pieces:
+        lows = [place * lookup.edge for place in r[:3]]
+        gaps = [max(low - at, at - low - lookup.edge, 0.0) for low, at in zip(lows, (r.c.center_x, r.c.center_y, r.c.center_z))]
+        assert sum(g * g for g in gaps) <= (400.0 / R * (1 + 1e-6)) ** 2
+
+
+def test_nearest_beyond_a_broadcast_keeps_one_table_of_askers(spark):
+    rows = [(i, *unit(0.0, 0.05 * i), 10.0) for i in range(1000)]
+    events = [(f"e{i}", 89.0 - 30 * i, 180.0, 0.0) for i in range(6)]
+    made = []
+
+    class Seen(clusters_module.Staged):
+        def __init__(self, df, label):
+            super().__init__(df, label)
+            made.append(self)
+
+    original, clusters_module.Staged = clusters_module.Staged, Seen
+    try:
+        got = nearest_clusters(spark.createDataFrame(events, EVENT), spark.createDataFrame(rows, CLUSTER), per_pass=10).collect()
+    finally:
+        clusters_module.Staged = original
+    assert len(got) == 6 and all(r.is_nearest for r in got)
+    asks = [t.path for t in made if "/asks-" in t.path]
+    assert asks and not any(os.path.exists(path) for path in asks)
